@@ -39,8 +39,8 @@ class Rule:
 BASE = (Rule("few_words", "n_words", low=50), Rule("repeated_windows", "repeat_ratio", high=0.5))
 RULES = (
     Rule("word_length", "mean_word_length", low=2.0, high=15.0),
-    Rule("symbols", "symbol_ratio", high=0.2),
-    Rule("stop_words", "stop_ratio", low=0.02),
+    Rule("symbols", "symbol_ratio", high=0.05),
+    Rule("stop_words", "stop_ratio", low=0.06),
     Rule("repeated_lines", "dup_line_ratio", high=0.5),
 )
 

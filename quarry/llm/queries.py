@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, quality
+from quarry.llm import exact_dedup, mixing, quality, sharding
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -14,6 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.verdict(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,8 +29,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_xd_keep").alias("keep_id"), F.col("_xd_n").alias("group_size"), F.col("_xd_kept").alias("kept"), F.lower(F.hex("_xd_digest")).alias("text_sha256"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(documents(spark, sf_dir), 40)
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    return {"op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -54,8 +64,8 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-         AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / word_chars <= 0.2
-         AND n_stop_words / n_words >= 0.02 AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5) AS kept
+         AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / word_chars <= 0.05
+         AND n_stop_words / n_words >= 0.06 AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5) AS kept
 FROM m"""
 
 OP8_SQL = f"""
@@ -63,5 +73,36 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM (SELECT doc_id, {LOWER_SQL} AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
 
 
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+         -ln((('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+           / (1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', ''))) / greatest(length(coalesce(text, '')), 1))) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
+         row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM d GROUP BY source),
+l AS (
+  SELECT *, 2.0 * source_size / w AS fill,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0 * source_size / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(w) OVER (ORDER BY 2.0 * source_size / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s),
+t AS (
+  SELECT source, source_size, rank, CASE WHEN fill <= level THEN 2.0::DOUBLE * source_size
+         ELSE w * (SELECT arg_min(level, fill) FROM l WHERE fill > level) END AS target FROM l),
+e AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+         sum(size) OVER (PARTITION BY rank ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS end_, rank
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, target - epochs * source_size AS rest FROM e),
+g AS (SELECT *, rest - coalesce(max(CASE WHEN end_ <= rest THEN end_ END) OVER (PARTITION BY rank), 0) AS gap FROM r),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY rank ORDER BY CASE WHEN end_ > rest AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), end_) AS nth FROM g)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN end_ <= rest OR (nth = 1 AND end_ > rest AND abs(size - gap) < gap) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op6_mixing": OP6_SQL, "op7_quality": OP7_SQL, "op8_exact_dedup": OP8_SQL}
