@@ -19,6 +19,7 @@ documents than shards leave shards empty; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,7 +85,7 @@ def _walk(node: Node, leaf) -> Column:
     return F.when(F.col(f"k{node.dim}") <= F.lit(node.cut), _walk(node.left, leaf)).otherwise(_walk(node.right, leaf))
 
 
-def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 512, tolerance: float = 0.001) -> Node:
+def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 4096, tolerance: float = 0.001) -> Node:
     """The tree over the points ``rows``. ``tolerance``: by how much of a shard's bytes a cut may be off."""
     root = Node(shards, 0)
     open_nodes = [root] if shards > 1 else []
@@ -112,10 +113,13 @@ def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 512, tolerance
             part = here.filter(F.col("node").isin(list(narrow))).select("node", "size", value.alias("v"), low.alias("low"), step.alias("step"))
             top = F.element_at(F.create_map(*[F.lit(x) for i, s in narrow.items() for x in (i, s["hi"])]), F.col("node"))
             part = part.filter((F.col("v") >= F.col("low")) & (F.col("v") <= top))
-            counts = part.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("w")).orderBy("node", "bin").collect()
+            counts = part.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("w")).collect()
+            of = defaultdict(list)
+            for c in sorted(counts, key=lambda c: c["bin"]):
+                of[c["node"]].append(c)
             for i, s in list(narrow.items()):
                 below = s["below"]
-                for c in (c for c in counts if c["node"] == i):
+                for c in of[i]:
                     lo = s["lo"] + c["bin"] * s["step"]
                     hi = min(lo + s["step"] - 1, s["hi"])
                     if below + c["w"] >= s["want"] or hi == s["hi"]:
