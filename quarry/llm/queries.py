@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, packing, quality, sharding
+from quarry.llm import exact_dedup, mixing, packing, quality, sharding, simhash
 from quarry.llm.common import cut
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -15,6 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_copies(documents(spark, sf_dir), width=3, radius=3)
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -47,7 +52,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
