@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, packing, quality, sharding, simhash
+from quarry.llm import exact_dedup, langid, mixing, packing, quality, sharding, simhash
 from quarry.llm.common import cut
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,6 +20,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    known = langid.prototypes(docs.filter(~held_out))
+    return langid.identify(docs, known).withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -52,7 +59,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
