@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, langid, mixing, packing, quality, sharding, simhash
+from quarry.llm import exact_dedup, html_main, langid, mixing, packing, quality, sharding, simhash
 from quarry.llm.common import cut
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -27,6 +27,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, known).withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
