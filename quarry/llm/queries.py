@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, html_main, langid, mixing, packing, quality, sharding, simhash
+from quarry.llm import exact_dedup, html_main, langid, mixing, packing, pii, quality, sharding, simhash
 from quarry.llm.common import cut
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,6 +31,12 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [(F.size("found") - F.size(F.array_remove("found", k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", *counts)
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -63,7 +69,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))

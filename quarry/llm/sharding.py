@@ -50,14 +50,15 @@ def _text_place(name: str) -> Column:
 def points(df: DataFrame, shards: int, id_col: str, text_col: str, meta: tuple[str, ...]) -> DataFrame:
     """One narrow row per document: identifier, size, crc32 and its place k0, k1, ... in each dimension."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + SIZE_EXTRA
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
     carry = {f"_kd_m{i}": (m, F.min) for i, m in enumerate(meta)}
-    rows = df.select(id_col, text_col, *[m for m in meta if m not in (id_col, text_col)])
+    rows = df.select(id_col, text_col, *[m for m in meta if m not in (id_col, text_col)], size.alias("_kd_size"), crc.alias("_kd_crc"))
     rows = exact_dedup.assign(rows, id_col, text_col, carry=carry)
-    # the group's own columns come last; only they are wanted
-    rows = rows.select(
+    size = F.col("_kd_size")
+    rows = rows.select(  # no text: it is not shuffled
         F.col(id_col).alias("id"),
         size.alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("crc"),
+        F.col("_kd_crc").alias("crc"),
         F.xxhash64("_xd_digest").alias("group"),
         (F.col("_xd_n") * size).alias("group_bytes"),
         F.log(size.cast("double")).alias("x0"),
