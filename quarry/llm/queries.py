@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, html_main, langid, mixing, packing, pii, quality, sharding, simhash
+from quarry.llm import exact_dedup, html_main, langid, line_dedup, mixing, packing, pii, quality, sharding, simhash
 from quarry.llm.common import cut
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,8 +68,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.mark(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
