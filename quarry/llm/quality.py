@@ -111,5 +111,6 @@ def verdict(df: DataFrame, text_col: str = "text", *, base: tuple[Rule, ...] = B
 
 def keep_good(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that pass every rule, with its own columns."""
-    judged = verdict(df, text_col, prefix="_ql_", **options)
-    return judged.filter(F.col("_ql_kept")).select(*[f"`{c}`" for c in df.columns])
+    # a filter is not moved below a row number: the metrics are computed once, and not again inside the condition
+    judged = verdict(df, text_col, prefix="_ql_", **options).withColumn("_ql_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("_ql_kept") & (F.col("_ql_row") >= 0)).select(*[f"`{c}`" for c in df.columns])
