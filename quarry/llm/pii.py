@@ -15,6 +15,8 @@ other columns are passed through by ``pseudonymise``, which adds or replaces onl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ PATTERN = "|".join(f"(?:{x})" for x in FORMS.values())
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or a lambda in it reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _int(x: Column) -> Column:
     return x.cast("long")
 
@@ -79,8 +86,8 @@ class Cipher:
         n = F.length(d)
         half = F.floor(n / 2).cast("int")
         size = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
-        out = self.numbers(kind, F.substr(d, F.lit(1), half), F.substr(d, half + 1, n - half), size(half), size(n - half))
-        return F.concat(F.lpad(out["l"].cast("string"), half, F.lit("0")), F.lpad(out["r"].cast("string"), n - half, F.lit("0")))
+        moved = self.numbers(kind, F.substr(d, F.lit(1), half), F.substr(d, half + 1, n - half), size(half), size(n - half))
+        return let(moved, lambda out: F.concat(F.lpad(out["l"].cast("string"), half, F.lit("0")), F.lpad(out["r"].cast("string"), n - half, F.lit("0"))))
 
     def letters(self, kind: str, text: Column) -> Column:
         """A permutation of strings that keeps each character's class: small letter, capital, digit; others stay."""
@@ -100,39 +107,46 @@ class Cipher:
             return F.array_join(F.transform(places, one), "")
 
         def step(s: Column, r: Column) -> Column:
-            even = F.struct(shifted(s["l"], self._hash(kind, r, s["r"])).alias("l"), s["r"].alias("r"))
-            odd = F.struct(s["l"].alias("l"), shifted(s["r"], self._hash(kind, r, s["l"])).alias("r"))
+            even = let(self._hash(kind, r, s["r"]), lambda h: F.struct(shifted(s["l"], h).alias("l"), s["r"].alias("r")))
+            odd = let(self._hash(kind, r, s["l"]), lambda h: F.struct(s["l"].alias("l"), shifted(s["r"], h).alias("r")))
             return F.when(r % 2 == 0, even).otherwise(odd)
 
         half = F.floor(F.length(text) / 2).cast("int")
         start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text) - half).alias("r"))
-        out = F.aggregate(_rounds(self.reverse), start, step)
-        return F.concat(out["l"], out["r"])
+        return F.aggregate(_rounds(self.reverse), start, step, lambda out: F.concat(out["l"], out["r"]))
 
     def date(self, kind: str, year: Column, month: Column, day: Column) -> Column:
         """Another day of the same century: 1900 to 1999 has 92 x 397 days, 2000 to 2099 has 75 x 487."""
         first = F.when(year < 2000, F.lit("1900-01-01")).otherwise(F.lit("2000-01-01")).cast("date")
         a, b = F.when(year < 2000, F.lit(92)).otherwise(F.lit(75)), F.when(year < 2000, F.lit(397)).otherwise(F.lit(487))
         n = F.datediff(F.make_date(year, month, day), first)
-        out = self.numbers(kind, F.floor(n / b), n % b, a, b)
-        return F.date_add(first, (out["l"] * b + out["r"]).cast("int"))
+        moved = let(n, lambda n: self.numbers(kind, F.floor(n / b), n % b, a, b))
+        return let(moved, lambda out: F.date_add(first, (out["l"] * b + out["r"]).cast("int")))
 
 
 def refill(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced in turn by ``digits``."""
-    one = lambda i: F.when(_at(form, i).rlike("[0-9]"), _at(digits, F.length(_digits(F.substr(form, F.lit(1), i))))).otherwise(_at(form, i))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
+
+    def filled(digits: Column) -> Column:
+        one = lambda i: F.when(_at(form, i).rlike("[0-9]"), _at(digits, F.length(_digits(F.substr(form, F.lit(1), i))))).otherwise(_at(form, i))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
+
+    return let(digits, filled)
 
 
 def check_digit(payload: Column) -> Column:
     """The digit that makes ``payload`` followed by it pass the card check."""
-    n = F.length(payload)
 
-    def add(total: Column, i: Column) -> Column:  # i counts from the right
-        v = _at(payload, n - i + 1).cast("int") * (1 + i % 2)
-        return total + v - F.when(v > 9, 9).otherwise(0)
+    def of(payload: Column) -> Column:
+        n = F.length(payload)
+
+        def add(total: Column, i: Column) -> Column:  # i counts from the right
+            v = _at(payload, n - i + 1).cast("int") * (1 + i % 2)
+            return total + v - F.when(v > 9, 9).otherwise(0)
+
+        return F.pmod(10 - F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10)).cast("string")
 
-    return F.pmod(10 - F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10)).cast("string")
+    return let(payload, of)
 
 
 def mod97(text: Column) -> Column:
@@ -143,65 +157,96 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
 
 
-def pseudonym(m: Column, cipher: Cipher) -> Column:
-    """A struct (kind, value) for a candidate; null where no kind's validation holds."""
-    d = _digits(m)
+def found(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
-    def found(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-
-    def shaped(kind: str) -> Column:
-        return m.rlike(f"^(?:{FORMS[kind]})\\z")
 
+def _email(m: Column, cipher: Cipher) -> Column:
     local = F.substring_index(m, "@", 1)
-    email = found("email", F.concat(cipher.letters("email", local), F.substr(m, F.length(local) + 1, F.length(m))))
+    return F.concat(let(local, lambda x: cipher.letters("email", x)), F.substr(m, F.length(local) + 1, F.length(m)))
+
+
+def _iban(m: Column, cipher: Cipher) -> Column:
+    """The new IBAN with the spaces of the old one."""
+
+    def spaced(new: Column) -> Column:
+        one = lambda i: F.when(_at(m, i) == " ", F.lit(" ")).otherwise(_at(new, F.length(F.replace(F.substr(m, F.lit(1), i), F.lit(" "), F.lit("")))))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
+
+    def moved(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substr(plain, F.lit(5), F.length(plain))
+        check = lambda new: F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        whole = let(let(account, lambda a: cipher.letters("iban", a)), lambda new: F.concat(country, check(new), new))
+        valid = mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
+        return F.when(valid, found("iban", let(whole, spaced)))
 
-    plain = F.replace(m, F.lit(" "), F.lit(""))
-    country, account = F.substring(plain, 1, 2), F.substr(plain, F.lit(5), F.length(plain))
-    new_account = cipher.letters("iban", account)
-    check = F.lpad((98 - mod97(F.concat(new_account, country, F.lit("00")))).cast("string"), 2, "0")
-    new_iban = F.concat(country, check, new_account)
-    spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(_at(m, i) == " ", F.lit(" ")).otherwise(_at(new_iban, F.length(F.replace(F.substr(m, F.lit(1), i), F.lit(" "), F.lit("")))))), "")
+    return let(F.replace(m, F.lit(" "), F.lit("")), moved)
 
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    o = [F.get(octets, F.lit(i)) for i in range(4)]
-    ip = cipher.numbers("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
-    new_ip = F.concat_ws(".", *[x.cast("string") for x in (F.floor(ip["l"] / 256), ip["l"] % 256, F.floor(ip["r"] / 256), ip["r"] % 256)])
 
-    def dated(kind: str, year: Column, month: Column, day: Column, form: str, wrap) -> Column:
-        valid = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd").isNotNull()
-        moved = cipher.date("date", year.cast("int"), month.cast("int"), day.cast("int"))
-        return F.when(valid, found(kind, wrap(F.date_format(moved, form))))
+def _ip(m: Column, cipher: Cipher) -> Column:
+    def moved(o: Column) -> Column:
+        at = lambda i: F.get(o, F.lit(i))
+        pair = cipher.numbers("ip", at(0) * 256 + at(1), at(2) * 256 + at(3), F.lit(65536), F.lit(65536))
+        new = let(pair, lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256)]))
+        return F.when(F.forall(o, lambda x: x <= 255), found("ip", new))
 
-    part = lambda at, n: F.substring(d, at, n)
-    iso = dated("iso_date", part(1, 4), part(5, 2), part(7, 2), "yyyyMMdd", lambda x: refill(m, x))
-    day = dated("date", part(5, 4), part(3, 2), part(1, 2), "ddMMyyyy", lambda x: refill(m, x))
+    return let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), moved)
 
+
+def _date(kind: str, m: Column, cipher: Cipher, year: Column, month: Column, day: Column, form: str) -> Column:
+    valid = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd").isNotNull()
+    moved = cipher.date("date", year.cast("int"), month.cast("int"), day.cast("int"))
+    return F.when(valid, found(kind, refill(m, F.date_format(moved, form))))
+
+
+def _ssn(m: Column, d: Column, cipher: Cipher) -> Column:
     area, group, serial = F.substring(d, 1, 3).cast("int"), F.substring(d, 4, 2).cast("int"), F.substring(d, 6, 4).cast("int")
-    ssn_ok = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+    valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     place = area - F.when(area > 666, 2).otherwise(1)  # 898 areas, 99 groups, 9999 serials
-    ssn = cipher.numbers("ssn", place * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
-    new_area = F.floor(ssn["l"] / 99) + F.when(F.floor(ssn["l"] / 99) >= 665, 2).otherwise(1)
-    new_ssn = F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in ((new_area, 3), (ssn["l"] % 99 + 1, 2), (ssn["r"] + 1, 4))])
+    pair = cipher.numbers("ssn", place * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
+
+    def written(p: Column) -> Column:
+        new_area = F.floor(p["l"] / 99) + F.when(F.floor(p["l"] / 99) >= 665, 2).otherwise(1)
+        return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in ((new_area, 3), (p["l"] % 99 + 1, 2), (p["r"] + 1, 4))])
+
+    return F.when(valid, found("ssn", refill(m, let(pair, written))))
+
+
+def _phone(m: Column, d: Column, cipher: Cipher) -> Column:
+    prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)  # the country stays
 
-    prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
-    own = _digits(F.substr(m, F.length(prefix) + 1, F.length(m)))
-    phone = found("phone", F.concat(prefix, refill(F.substr(m, F.length(prefix) + 1, F.length(m)), cipher.digits("phone", own))))
+    def moved(rest: Column) -> Column:
+        own = _digits(rest)
+        new = F.concat(prefix, refill(rest, let(own, lambda x: cipher.digits("phone", x))))
+        return F.when((F.length(d) >= 8) & (F.length(d) <= 15) & (F.length(own) >= 5), found("phone", new))
 
+    return let(F.substr(m, F.length(prefix) + 1, F.length(m)), moved)
+
+
+def _card(m: Column, d: Column, cipher: Cipher) -> Column:
     payload = F.substr(d, F.lit(1), F.length(d) - 1)
-    new_payload = cipher.digits("card", payload)
-    card = found("card", refill(m, F.concat(new_payload, check_digit(new_payload))))
-
-    return (
-        F.when(F.instr(m, "@") > 0, email)
-        .when(shaped("iban"), F.when(mod97(F.concat(account, F.substring(plain, 1, 4))) == 1, found("iban", spaced)))
-        .when(shaped("ip"), F.when(F.forall(octets, lambda x: x <= 255), found("ip", new_ip)))
-        .when(shaped("iso_date"), iso)
-        .when(shaped("date"), day)
-        .when(shaped("ssn"), F.when(ssn_ok, found("ssn", refill(m, new_ssn))))
-        .when(shaped("phone"), F.when((F.length(d) >= 8) & (F.length(d) <= 15) & (F.length(own) >= 5), phone))
-        .when(shaped("card"), F.when(F.substr(d, F.length(d), F.lit(1)) == check_digit(payload), card))
-    )
+    new = let(let(payload, lambda x: cipher.digits("card", x)), lambda x: F.concat(x, check_digit(x)))
+    return F.when(F.substr(d, F.length(d), F.lit(1)) == check_digit(payload), found("card", refill(m, new)))
+
+
+def pseudonym(m: Column, cipher: Cipher) -> Column:
+    """A struct (kind, value) for a candidate; null where no kind's validation holds."""
+    shaped = lambda kind: m.rlike(f"^(?:{FORMS[kind]})\\z")
+
+    def of(d: Column) -> Column:
+        part = lambda at, n: F.substring(d, at, n)
+        return (
+            F.when(F.instr(m, "@") > 0, found("email", _email(m, cipher)))
+            .when(shaped("iban"), _iban(m, cipher))
+            .when(shaped("ip"), _ip(m, cipher))
+            .when(shaped("iso_date"), _date("iso_date", m, cipher, part(1, 4), part(5, 2), part(7, 2), "yyyyMMdd"))
+            .when(shaped("date"), _date("date", m, cipher, part(5, 4), part(3, 2), part(1, 2), "ddMMyyyy"))
+            .when(shaped("ssn"), _ssn(m, d, cipher))
+            .when(shaped("phone"), _phone(m, d, cipher))
+            .when(shaped("card"), _card(m, d, cipher))
+        )
+
+    return let(_digits(m), of)
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", *, key: str = "quarry", reverse: bool = False, found_col: str = "found") -> DataFrame:
