@@ -55,4 +55,4 @@ def write_snapshot(df: DataFrame, table: str, *, buckets: int = 32, key: str = "
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(S.struct(schema).add("bucket", "int")).parquet(path).drop("bucket")
+    return spark.read.schema(f"{schema}, bucket int").parquet(path).drop("bucket")
