@@ -4,8 +4,9 @@ Equal lines are one line, whatever their number. Each distinct line of at least
 ``threshold + 1`` segments of near equal length: of two lines within ``threshold`` edits, one keeps a segment of the
 other untouched. The segments are indexed by line length and place; a line probes, for each length up to ``threshold``
 shorter than its own, the substrings that can align with a segment (the multi-match-aware windows, so the fewest that
-miss nothing). Index and probes meet in one equi-join on a hash of (length, place, substring); pairs that meet are
-verified by Spark's ``levenshtein`` with a threshold, which fills only the band of the matrix that the threshold allows.
+miss nothing). Index and probes meet in one equi-join on a hash of (length, place, substring), which also compares the
+counts of a few characters; only hashes move, not lines. Pairs that are left are verified on their texts by Spark's
+``levenshtein`` with a threshold, which fills only the band of the matrix that the threshold allows.
 
 Linked lines form classes (components). A class keeps its first occurrence, by document identifier and line number;
 ``mark`` tells which lines of each document go, and ``drop_lines`` returns the documents without them.
@@ -34,27 +35,15 @@ def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 1) of a line of this length; the last ones take the remainder."""
     k = threshold + 1
-    base, longer = F.floor(length / k), k - length % k  # segments after the first ``longer`` have one more
+    base, longer = F.floor(length / k).cast("int"), k - length % k  # segments after the first ``longer`` have one more
     start = base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - longer) + 1
-    return start.cast("int"), (base + F.when(F.lit(i) > longer, 1).otherwise(0)).cast("int")
+    return start, base + (F.lit(i) > longer).cast("int")
 
 
-def _signature(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), text)
-
-
-def indexed(line: Column, threshold: int) -> Column:
-    n = F.length(line)
-    out = []
-    for i in range(1, threshold + 2):
-        start, size = _segment(n, i, threshold)
-        out.append(_signature(n, i, F.substr(line, start, size)))
-    return F.array(*out)
-
-
-def probes(line: Column, threshold: int) -> Column:
-    n = F.length(line)
-    out = []
+def signatures(line: Column, n: Column, threshold: int) -> Column:
+    """Hashes of (length, place, substring): first those of the line's own segments, then the further probes, for
+    segments of lines up to ``threshold`` shorter. A line of 3 x (threshold + 1) characters or more has room for all."""
+    own, further = [], []
     for shorter in range(threshold + 1):
         length = n - shorter
         for i in range(1, threshold + 2):
@@ -62,32 +51,66 @@ def probes(line: Column, threshold: int) -> Column:
             lo = max(-(i - 1), shorter - (threshold + 1 - i))
             hi = min(i - 1, shorter + threshold + 1 - i)
             for shift in range(lo, hi + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= n)
-                out.append(F.when(fits, _signature(length, i, F.substr(line, at, size))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                out = own if shorter == shift == 0 else further
+                out.append(F.xxhash64(length, F.lit(i), F.substr(line, start + shift, size)))
+    return F.array(*own, *further)
+
+
+#: Characters that are counted to tell most distant lines apart without reading them; which ones only matters for speed.
+COUNTED = " eainrto"
+
+
+def bag(line: Column) -> Column:
+    """Counts of eight characters, at most 255 each, in the bytes of one number."""
+    counts = [F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in COUNTED]
+    out = counts[0]
+    for k, c in enumerate(counts[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(c, 8 * k))
+    return out
+
+
+def bag_distance(a: Column, b: Column) -> Column:
+    """At most twice the edits between the lines: an edit takes one character out of the bag and puts one in."""
+    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
+    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(1, len(COUNTED))), F.abs(byte(a, 0) - byte(b, 0)))
+
+
+def line_pairs(df: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of keys of distinct lines that share a segment and have bags as near as ``threshold`` edits allow."""
+    if min_chars < 3 * (threshold + 1):
+        raise ValueError("min_chars must be at least 3 x (threshold + 1)")
+    rows = occurrences(df, id_col, text_col).filter("key IS NOT NULL").withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
+    rows = rows.select("key", signatures(F.col("line"), F.col("n"), threshold).alias("sigs"), bag(F.col("line")).alias("bag"))
+    lines = rows.groupBy("key").agg(F.first("sigs").alias("sigs"), F.first("bag").alias("bag"))  # equal lines are one
+    index = lines.select(F.col("key").alias("x"), F.col("bag").alias("bx"), F.explode(F.slice("sigs", 1, threshold + 1)).alias("sig"))
+    probe = lines.select(F.col("key").alias("y"), F.col("bag").alias("by"), F.explode("sigs").alias("sig"))
+    met = index.join(probe, (index["sig"] == probe["sig"]) & (F.col("x") != F.col("y")) & (bag_distance(F.col("bx"), F.col("by")) <= 2 * threshold))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def line_links(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """Pairs (a, b) of keys of distinct ``lines`` (key, line) within ``threshold`` edits, each once."""
-    long_ones = lines.filter(F.length("line") >= max(min_chars, threshold + 1)).select("key", "line")
-    index = long_ones.select(F.col("key").alias("x"), F.explode(indexed(F.col("line"), threshold)).alias("sig"))
-    probe = long_ones.select(F.col("key").alias("y"), F.explode(F.array_distinct(probes(F.col("line"), threshold))).alias("sig"))
-    met = index.join(probe, "sig").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left, right = long_ones.select(F.col("key").alias("a"), F.col("line").alias("la")), long_ones.select(F.col("key").alias("b"), F.col("line").alias("lb"))
-    pairs = cut(met, "line-pairs").join(left, "a").join(right, "b")
-    return pairs.filter(F.levenshtein("la", "lb", threshold) >= 0).select("a", "b")
+def line_links(df: DataFrame, pairs: DataFrame, lines: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """Those of the ``pairs`` that are within ``threshold`` edits. Only the documents that hold the pairs' first
+    occurrences are read for it; ``lines`` says where they are."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(lines, "key")
+    wanted = cut(wanted.select("key", F.col("at.id").alias("id"), F.col("at.no").alias("no")), "wanted-lines")
+    docs = df.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
+    texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["id"]))
+    texts = texts.select("key", F.get(F.split("text", "\n"), F.col("no")).alias("line")).filter(F.xxhash64("line", F.length("line")) == F.col("key"))
+    texts = cut(texts.groupBy("key").agg(F.first("line").alias("line")), "pair-lines")
+    left, right = texts.select(F.col("key").alias("a"), F.col("line").alias("la")), texts.select(F.col("key").alias("b"), F.col("line").alias("lb"))
+    return pairs.join(left, "a").join(right, "b").filter(F.levenshtein("la", "lb", threshold) >= 0).select("a", "b")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = 2, min_chars: int = 20) -> DataFrame:
     """One row per distinct line: key, the class's first occurrence (first_id, first_no), rows of the line, its links."""
-    lines = occurrences(df, id_col, text_col).filter("key IS NOT NULL").groupBy("key").agg(F.first("line").alias("line"), F.min(F.struct("id", "no")).alias("at"), F.count(F.lit(1)).alias("n"))
-    links = cut(line_links(lines.select("key", "line"), threshold, min_chars), "line-links")
+    lines = occurrences(df, id_col, text_col).filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "no")).alias("at"), F.count(F.lit(1)).alias("n"))
+    lines = cut(lines, "lines")
+    pairs = cut(line_pairs(df, threshold, min_chars, id_col, text_col), "line-pairs")
+    links = cut(line_links(df, pairs, lines, threshold, id_col, text_col), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     linked = degree.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("root", "key").alias("root"))
     linked = cut(linked, "line-classes")
-    narrow = cut(occurrences(df, id_col, text_col).filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "no")).alias("at"), F.count(F.lit(1)).alias("n")), "lines")
-    all_lines = narrow.join(linked, "key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    all_lines = lines.join(linked, "key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     firsts = cut(all_lines.filter("root IS NOT NULL").groupBy("root").agg(F.min("at").alias("first")), "line-firsts")
     return all_lines.join(firsts, "root", "left").select("key", F.coalesce("first", "at").alias("first"), "n", "links")
 
