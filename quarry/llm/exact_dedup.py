@@ -41,10 +41,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, kee
         raise ValueError("runs must be at least 1 and fan_in at least 2")
     carry = carry or {}
     pick = F.min if keep == "smallest" else F.max
+    last = F.col(id_col).isNull() if keep == "smallest" else F.col(id_col).isNotNull()  # null identifiers come last
     rows = with_key(df, text_col).select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).alias("_xd_run"),
         *KEY,
-        F.struct(F.col(id_col).alias("id")).alias("_xd_best"),
+        F.struct(last.alias("last"), F.col(id_col).alias("id")).alias("_xd_best"),
         F.lit(1).cast("long").alias("_xd_n"),
         *[F.col(c).alias(name) for name, (c, _) in carry.items()],
     )

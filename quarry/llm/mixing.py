@@ -83,7 +83,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     nearest = summed.filter(~inside).join(gaps, "_mx_rank").filter(off < F.col("_mx_gap")).groupBy("_mx_rank").agg(F.min(F.struct(off.alias("off"), F.col("_mx_end").alias("end")))["end"].alias("_mx_top"))
     nearest = cut(nearest, "mix-last")
     out = summed.join(nearest, "_mx_rank", "left")
-    chosen = inside | (F.col("_mx_end") == F.col("_mx_top")) & (F.col("_mx_n") > 0)
+    chosen = (inside | (F.col("_mx_end") == F.col("_mx_top"))) & (F.col("_mx_n") > 0)
     copies = F.col("_mx_epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     return out.select(F.col("_mx_id").alias("id"), F.col("_mx_source").alias("source"), F.col("_mx_n").alias("size"), F.col("_mx_size").alias("source_size"), F.col("_mx_target").alias("target"), copies.cast("long").alias("copies"))
 
