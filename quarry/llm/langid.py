@@ -46,7 +46,7 @@ class Profiles:
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of the text by number, and their counts."""
         clean = NO_LETTER.sub(" ", f" {text.lower()} ")
-        if not clean.strip():
+        if not any(map(str.isalpha, clean)):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         points = np.frombuffer(clean.encode("utf-32-le"), dtype="<u4")
         codes = self.code_of[points & 0xFFFF]
