@@ -69,8 +69,9 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "smallest", runs: int = 64, fan_in: int = 8) -> DataFrame:
     """The rows of ``df`` that stay, with its own columns: one per distinct text."""
-    table = cut(groups(df, id_col, text_col, keep=keep, runs=runs, fan_in=fan_in).select(*KEY, F.col("_xd_keep").alias("_xd_id")), "digest-keepers")
-    keyed = with_key(df, text_col).withColumn("_xd_id", F.col(id_col))
-    same = [keyed[c].eqNullSafe(table[c]) if c == "_xd_id" else keyed[c] == table[c] for c in [*KEY, "_xd_id"]]
-    kept = keyed.join(table, same, "left_semi")
-    return kept.dropDuplicates([*KEY]).select(*[kept[f"`{c}`"] for c in df.columns])
+    tag = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), c.cast("string")))
+    table = groups(df, id_col, text_col, keep=keep, runs=runs, fan_in=fan_in).select(*KEY, tag(F.col("_xd_keep")).alias("_xd_id"))
+    keyed = with_key(df, text_col).withColumn("_xd_id", tag(F.col(id_col)))
+    # one shuffle serves the join and the last step; the keepers grow with the input, so they are never broadcast
+    kept = keyed.join(cut(table, "digest-keepers").hint("merge"), [*KEY, "_xd_id"], "left_semi")
+    return kept.dropDuplicates([*KEY, "_xd_id"]).select(*[kept[f"`{c}`"] for c in df.columns])

@@ -92,5 +92,5 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself, with the columns of ``df``: each row as often as the mix takes it. Rows that share an identifier
     are taken equally often."""
     copies = mix(df, id_col, text_col, source_col, **options).groupBy(F.col("id").alias("_mx_of")).agg(F.max("copies").alias("_mx_copies")).filter("_mx_copies > 0")
-    out = df.join(cut(copies, "mix-copies"), F.col(id_col).eqNullSafe(F.col("_mx_of")))
+    out = df.join(cut(copies, "mix-copies").hint("merge"), F.col(id_col).eqNullSafe(F.col("_mx_of")))
     return out.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*[df[f"`{c}`"] for c in df.columns])

@@ -245,4 +245,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     identifier cannot be chosen between and stay where no identifier names their component."""
     found = near_copies(df, id_col, text_col, **options)
     keep = cut(found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_sh_id")).distinct(), "near-keepers")
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("_sh_id")), "left_semi")
+    return df.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("_sh_id")), "left_semi")  # grows with the input
