@@ -614,3 +614,12 @@ def search_a_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hits(search.search_one(made.embeddings, "docs", vector), made.chunks, made.files)
 
 
+
+
+@query("""SELECT source AS id, 'github' AS provider, 'o' || (length(source) % 3) AS owner_name, source AS repo_name, 'https://github.com/o' || (length(source) % 3) || '/' || source || '.git' AS clone_url,
+ CASE WHEN length(source) = 4 THEN 'dev' END AS default_branch, max(doc_id)::VARCHAR AS last_indexed_sha, 'indexed' AS status, min(doc_id) AS created_at FROM documents GROUP BY source""")
+def public_repositories(spark, sf_dir):
+    owner = F.concat(F.lit("o"), (F.length("source") % 3).cast("string"))
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").cast("string").alias("last_indexed_sha"), F.min("doc_id").alias("created_at"))
+    rows = d.withColumns({"id": F.col("source"), "owner_id": F.lit("private"), "provider": F.lit("github"), "owner_name": owner, "repo_name": F.col("source"), "clone_url": F.concat(F.lit("https://github.com/"), owner, F.lit("/"), "source", F.lit(".git")), "default_branch": F.when(F.length("source") == 4, "dev"), "status": F.lit("indexed")})
+    return tables.public_repository(rows)
