@@ -4,8 +4,8 @@ Equal lines are one line, whatever their number. Each distinct line of at least
 ``threshold + 1`` segments of near equal length: of two lines within ``threshold`` edits, one keeps a segment of the
 other untouched. The segments are indexed by line length and place; a line probes, for each length up to ``threshold``
 shorter than its own, the substrings that can align with a segment (the multi-match-aware windows, so the fewest that
-miss nothing). Index and probes meet in one equi-join on a hash of (length, place, substring), which also compares the
-counts of a few characters; only hashes move, not lines. Pairs that are left are verified on their texts by Spark's
+miss nothing). Index and probes meet in one equi-join on a hash of (length, place, substring), which also compares
+sketches of the lines' words; only hashes move, not lines. Pairs that are left are verified on their texts by Spark's
 ``levenshtein`` with a threshold, which fills only the band of the matrix that the threshold allows.
 
 Linked lines form classes (components). A class keeps its first occurrence, by document identifier and line number;
@@ -56,35 +56,24 @@ def signatures(line: Column, n: Column, threshold: int) -> Column:
     return F.array(*own, *further)
 
 
-#: Characters that are counted to tell most distant lines apart without reading them; which ones only matters for speed.
-COUNTED = " eainrto"
-
-
-def bag(line: Column) -> Column:
-    """Counts of eight characters, at most 255 each, in the bytes of one number."""
-    counts = [F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in COUNTED]
-    out = counts[0]
-    for k, c in enumerate(counts[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(c, 8 * k))
-    return out
-
-
-def bag_distance(a: Column, b: Column) -> Column:
-    """At most twice the edits between the lines: an edit takes one character out of the bag and puts one in."""
-    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
-    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(1, len(COUNTED))), F.abs(byte(a, 0) - byte(b, 0)))
+def word_sketch(line: Column) -> Column:
+    """64 bits, each the parity of the number of words that hash to it. An edit changes one word, splits one or joins
+    two, so it flips at most three bits."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
 def line_pairs(df: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of keys of distinct lines that share a segment and have bags as near as ``threshold`` edits allow."""
+    """Pairs (a, b) of keys of distinct lines that share a segment and whose sketches are as near as ``threshold`` edits
+    allow."""
     if min_chars < 3 * (threshold + 1):
         raise ValueError("min_chars must be at least 3 x (threshold + 1)")
     rows = occurrences(df, id_col, text_col).filter("key IS NOT NULL").withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
-    rows = rows.select("key", signatures(F.col("line"), F.col("n"), threshold).alias("sigs"), bag(F.col("line")).alias("bag"))
-    lines = rows.groupBy("key").agg(F.first("sigs").alias("sigs"), F.first("bag").alias("bag"))  # equal lines are one
-    index = lines.select(F.col("key").alias("x"), F.col("bag").alias("bx"), F.explode(F.slice("sigs", 1, threshold + 1)).alias("sig"))
-    probe = lines.select(F.col("key").alias("y"), F.col("bag").alias("by"), F.explode("sigs").alias("sig"))
-    met = index.join(probe, (index["sig"] == probe["sig"]) & (F.col("x") != F.col("y")) & (bag_distance(F.col("bx"), F.col("by")) <= 2 * threshold))
+    rows = rows.select("key", signatures(F.col("line"), F.col("n"), threshold).alias("sigs"), word_sketch(F.col("line")).alias("sketch"))
+    lines = rows.groupBy("key").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch"))  # equal lines are one
+    index = lines.select(F.col("key").alias("x"), F.col("sketch").alias("sx"), F.explode(F.slice("sigs", 1, threshold + 1)).alias("sig"))
+    probe = lines.select(F.col("key").alias("y"), F.col("sketch").alias("sy"), F.explode("sigs").alias("sig"))
+    met = index.join(probe, (index["sig"] == probe["sig"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 3 * threshold))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
