@@ -583,19 +583,24 @@ def stream_leases(spark, sf_dir):
 
 # ---- whole workloads
 
-@query(f"""WITH {SIZED_SQL.removeprefix('WITH ')}, g AS (SELECT repository_id FROM s WHERE why IS NULL GROUP BY 1 HAVING count(*) <= 600 AND sum(size_bytes) <= 10000000),
-f AS (SELECT s.* FROM s JOIN g USING (repository_id) WHERE why IS NULL AND doc_id % 17 <> 0),
+def indexed_sql(files_cte: str) -> str:
+    return f"""{SIZED_SQL}, {files_cte},
 {chunk_sql(8, 2).removeprefix('WITH ').replace("FROM documents WHERE text <> ''", "FROM f WHERE text <> ''")}
-SELECT repository_id, count(DISTINCT f.doc_id) AS files, count(k.doc_id) AS chunks, count(k.doc_id) AS vectors, count(k.doc_id) > 0 AS searchable FROM f LEFT JOIN k USING (doc_id) GROUP BY 1""")
+SELECT repository_id, count(DISTINCT f.doc_id) AS files, count(k.doc_id) AS chunks, count(k.doc_id) AS vectors, count(k.doc_id) > 0 AS searchable FROM f LEFT JOIN k USING (doc_id) GROUP BY 1"""
+
+
+@query(indexed_sql("""g AS (SELECT repository_id FROM s WHERE why IS NULL GROUP BY 1 HAVING count(*) <= 600 AND sum(size_bytes) <= 10000000),
+f AS (SELECT s.* FROM s JOIN g USING (repository_id) WHERE why IS NULL AND doc_id % 17 <> 0)"""))
 def index_corpus(spark, sf_dir):
     """Discover, chunk and embed the corpus, then count what each repository has."""
     made = index.build(corpus(spark, sf_dir).drop("doc_id"), embed.HashProvider(16), window=8, overlap=2, max_file_bytes=4000, max_files=600, max_bytes=10_000_000)
     return tables.counts(made.files, made.chunks, made.embeddings)
 
 
-@query()
+@query(indexed_sql("f AS (SELECT * FROM s WHERE why IS NULL AND doc_id % 17 <> 0 AND doc_id % 7 <> 0)"))
 def incremental_index(spark, sf_dir):
-    """A second scan, in which some files are new and some are gone, merged into the tables of the first."""
+    """A second scan, in which some files are new and some are gone, merged into the tables of the first: the result
+    is that of indexing the second scan alone."""
     rows = corpus(spark, sf_dir)
     options = {"window": 8, "overlap": 2, "max_file_bytes": 4000, "max_files": 1 << 30, "max_bytes": 1 << 60}
     first = index.build(rows.filter("doc_id % 5 != 0").drop("doc_id"), embed.HashProvider(16), **options)
