@@ -5,7 +5,7 @@ Equal lines are one line, whatever their number. Each distinct line of at least
 other untouched. The segments are indexed by line length and place; a line probes, for each length up to ``threshold``
 shorter than its own, the substrings that can align with a segment (the multi-match-aware windows, so the fewest that
 miss nothing). Index and probes meet in one equi-join on a hash of (length, place, substring), which also compares
-sketches of the lines' words; only hashes move, not lines. Pairs that are left are verified on their texts by Spark's
+sketches of the lines' letters; only hashes move, not lines. Pairs that are left are verified on their texts by Spark's
 ``levenshtein`` with a threshold, which fills only the band of the matrix that the threshold allows.
 
 Linked lines form classes (components). A class keeps its first occurrence, by document identifier and line number;
@@ -56,11 +56,18 @@ def signatures(line: Column, n: Column, threshold: int) -> Column:
     return F.array(*own, *further)
 
 
-def word_sketch(line: Column) -> Column:
-    """64 bits, each the parity of the number of words that hash to it. An edit changes one word, splits one or joins
-    two, so it flips at most three bits."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+#: Characters that are counted in a sketch; which ones only matters for speed.
+COUNTED = " abcdefghijklmnopqrstuvwxyz.,éäó"
+
+
+def letter_sketch(line: Column) -> Column:
+    """Two bits for each of 32 characters: the Gray code of its count modulo 4, in which counts that differ by one
+    differ in one bit. An edit takes at most one character out and puts one in, so it flips at most two bits."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        count = ((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) / len(c.encode())).cast("long").bitwiseAND(F.lit(3))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)), 2 * k))
+    return out
 
 
 def line_pairs(df: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -69,11 +76,11 @@ def line_pairs(df: DataFrame, threshold: int, min_chars: int, id_col: str, text_
     if min_chars < 3 * (threshold + 1):
         raise ValueError("min_chars must be at least 3 x (threshold + 1)")
     rows = occurrences(df, id_col, text_col).filter("key IS NOT NULL").withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
-    rows = rows.select("key", signatures(F.col("line"), F.col("n"), threshold).alias("sigs"), word_sketch(F.col("line")).alias("sketch"))
+    rows = rows.select("key", signatures(F.col("line"), F.col("n"), threshold).alias("sigs"), letter_sketch(F.col("line")).alias("sketch"))
     lines = rows.groupBy("key").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch"))  # equal lines are one
     index = lines.select(F.col("key").alias("x"), F.col("sketch").alias("sx"), F.explode(F.slice("sigs", 1, threshold + 1)).alias("sig"))
     probe = lines.select(F.col("key").alias("y"), F.col("sketch").alias("sy"), F.explode("sigs").alias("sig"))
-    met = index.join(probe, (index["sig"] == probe["sig"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 3 * threshold))
+    met = index.join(probe, (index["sig"] == probe["sig"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 2 * threshold))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -83,7 +90,7 @@ def line_links(df: DataFrame, pairs: DataFrame, lines: DataFrame, threshold: int
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(lines, "key")
     wanted = cut(wanted.select("key", F.col("at.id").alias("id"), F.col("at.no").alias("no")), "wanted-lines")
     docs = df.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
-    texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["id"]))
+    texts = docs.join(wanted.hint("merge"), docs["doc"].eqNullSafe(wanted["id"]))  # grows with the input
     texts = texts.select("key", F.get(F.split("text", "\n"), F.col("no")).alias("line")).filter(F.xxhash64("line", F.length("line")) == F.col("key"))
     texts = cut(texts.groupBy("key").agg(F.first("line").alias("line")), "pair-lines")
     left, right = texts.select(F.col("key").alias("a"), F.col("line").alias("la")), texts.select(F.col("key").alias("b"), F.col("line").alias("lb"))
