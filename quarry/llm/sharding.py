@@ -114,7 +114,7 @@ def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 4096, toleranc
             part = here.filter(F.col("node").isin(list(narrow))).select("node", "size", value.alias("v"), low.alias("low"), step.alias("step"))
             top = F.element_at(F.create_map(*[F.lit(x) for i, s in narrow.items() for x in (i, s["hi"])]), F.col("node"))
             part = part.filter((F.col("v") >= F.col("low")) & (F.col("v") <= top))
-            counts = part.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("w")).collect()
+            counts = part.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
             of = defaultdict(list)
             for c in sorted(counts, key=lambda c: c["bin"]):
                 of[c["node"]].append(c)
@@ -126,7 +126,7 @@ def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 4096, toleranc
                     if below + c["w"] >= s["want"] or hi == s["hi"]:
                         break
                     below += c["w"]
-                if c["w"] <= s["slack"] or lo == hi:
+                if c["w"] <= s["slack"] or lo == hi or c["n"] == 1:
                     nearer = abs(below + c["w"] - s["want"]) <= abs(below - s["want"])
                     open_nodes[i].cut = hi if nearer else lo - 1
                     del narrow[i]
