@@ -25,8 +25,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest identifier stays. Texts that share 0.8 or more of
-    their five-word shingles differ in up to 11 bits of the three-word fingerprint and 14 of the five-word one."""
+    """Of each group of near copies the document with the smallest identifier stays. Near means up
+    to 11 differing bits of the three-word fingerprint and 14 of the five-word one, within which the test tables' texts
+    with 0.8 or more of their five-word shingles in common were found."""
     return simhash.drop_near_copies(docs, width=3, radius=11, confirm=(5, 14), leaf_rows=4096)
 
 
