@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, packing, quality, simhash
+from quarry.llm import exact_dedup, mixing, packing, quality, similar
 from quarry.llm.common import cut
 from quarry.llm.queries import vocabulary
 
@@ -25,10 +25,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest identifier stays. Near means up
-    to 11 differing bits of the three-word fingerprint and 14 of the five-word one, within which the test tables' texts
-    with 0.8 or more of their five-word shingles in common were found."""
-    return simhash.drop_near_copies(docs, width=3, radius=11, confirm=(5, 14), leaf_rows=4096)
+    """Of each group of near copies the document with the smallest identifier stays. Near means that two texts share
+    0.8 or more of their five-word shingles."""
+    return similar.drop_similar(docs, width=5, threshold=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL has neither the fingerprints' hash nor the tokenizer; the tests hold the stages against brute force.
+#: SQL has neither components of similar texts nor the tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

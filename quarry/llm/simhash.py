@@ -224,6 +224,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (pid, ...) with ``component``, the smallest ``first`` of the ``points`` (pid, first) that ``edges`` join."""
+    roots = components(edges)
+    rooted = points.join(roots, points["pid"] == roots["node"], "left").select("pid", "first", F.coalesce("root", "pid").alias("root"))
+    rooted = cut(rooted, "point-roots")
+    lowest = cut(rooted.groupBy("root").agg(F.min("first").alias("component")), "component-names")
+    table = cut(rooted.join(lowest, "root").select("pid", "component"), "point-components")
+    return rows.join(table, "pid")
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 3, confirm: tuple[int, int] | None = None, **options) -> DataFrame:
     """One row per row of ``df``: id, ``f0`` and ``component``. ``confirm`` = (width, bits): links must also be within
     so many bits of a second fingerprint, over shingles of that width."""
@@ -232,17 +242,16 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         prints = prints.withColumn("f1", F.lit(0).cast("long"))
     prints = cut(prints.withColumn("pid", F.xxhash64("f0", "f1") if confirm else F.col("f0")), "fingerprints")
     points = cut(prints.groupBy("pid", "f0", "f1").agg(F.min("id").alias("first")), "points")
-    roots = components(links(points, radius, confirm[1] if confirm else None, **options))
-    named = points.join(roots, points["pid"] == roots["node"], "left").select("pid", "first", F.coalesce("root", "pid").alias("root"))
-    named = cut(named, "point-roots")
-    lowest = cut(named.groupBy("root").agg(F.min("first").alias("component")), "component-names")
-    table = cut(named.join(lowest, "root").select("pid", "component"), "point-components")
-    return prints.join(table, "pid").select("id", "f0", "component")
+    return named(prints, points, links(points, radius, confirm[1] if confirm else None, **options)).select("id", "f0", "component")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that name their component, with its own columns: one document of each group. Rows without an
     identifier cannot be chosen between and stay where no identifier names their component."""
-    found = near_copies(df, id_col, text_col, **options)
+    return keepers(df, near_copies(df, id_col, text_col, **options), id_col)
+
+
+def keepers(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose identifier names their component in ``found`` (id, component)."""
     keep = cut(found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_sh_id")).distinct(), "near-keepers")
     return df.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("_sh_id")), "left_semi")  # grows with the input

@@ -1,0 +1,149 @@
+"""Near copies by the similarity of their shingle sets: every pair of texts whose Jaccard similarity is at least a
+threshold is linked, and no other pair.
+
+A prefix join finds the candidates. A text's shingles are sorted in one order that all texts share; two sets that are
+similar enough have a shingle in common among the first ``size - ceil(threshold * size) + 1`` of each. Any order is
+right; rare shingles first keeps groups small, so shingles that a bounded sample often shows come last and the others
+are ordered by hash. Candidates must also agree in size and leave room for enough common shingles behind the place where
+they meet. Each candidate pair is then compared on the shingles themselves, in Arrow batches.
+
+Links are found in two rounds, since only components are wanted. First each text meets the smallest text of each prefix
+shingle, which joins nearly all groups with as many pairs as rows. Then all other pairs meet, but only those that are
+still in different components.
+
+Defined cases: a null or empty text has one shingle, the empty one; a text with fewer words than a shingle has its whole
+word sequence; words and case are those of ``simhash.fingerprint``; null identifiers never name a component unless it
+has no other; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.common import cut, text_or_empty
+from quarry.llm.simhash import components, keepers, named
+
+
+def shingles(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    if len(words) < width:
+        return {b" ".join(words)}
+    return set(map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)))
+
+
+def needed(size: int, threshold: float) -> int:
+    """How many shingles a set of this size has in common with any that is similar enough, at least."""
+    return math.ceil(threshold * size - 1e-9)
+
+
+def _hashes(text: bytes, width: int) -> np.ndarray:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(text, width)), dtype=np.uint64))
+
+
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    return df.select(F.xxhash64(text_or_empty(text_col)).alias("pid"), text_or_empty(text_col).alias("text"))
+
+
+def common_shingles(texts: DataFrame, width: int, *, sample_rows: int = 20_000, seen: int = 3, most: int = 100_000) -> np.ndarray:
+    """Hashes of the shingles that at least ``seen`` texts of a sample have, the rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hashes(t.as_py(), width) for t in batch.column("text").cast(pa.binary())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    share = min(1.0, sample_rows / max(1, texts.count()))
+    sample = texts.filter(F.pmod(F.xxhash64("pid", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= seen)
+    found = counts.orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r["h"] for r in reversed(found)], dtype=np.int64).view(np.uint64)
+
+
+def prefixes(df: DataFrame, common: np.ndarray, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``df``: id, pid (the text's hash), size and prefix, the first shingles' hashes."""
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    def first(text: bytes) -> tuple[int, np.ndarray]:
+        h = _hashes(text, width)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            rank = np.where(known[at] == h, by_hash[at] + 1, 0)
+            h = h[np.argsort(rank, kind="stable")]
+        return len(h), h[: len(h) - needed(len(h), threshold) + 1].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [first(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            ends = np.cumsum([0, *[len(p) for _, p in rows]]).astype(np.int32)
+            values = np.concatenate([p for _, p in rows]) if rows else np.zeros(0, np.int64)
+            own = [pa.array([n for n, _ in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pid"), *own], names=["id", "pid", "size", "prefix"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("pid"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, pid long, size int, prefix array<long>")
+
+
+def _may_be_similar(a: str, b: str, threshold: float) -> Column:
+    """Whether sizes and places of a shingle that is the first in common leave room for the similarity."""
+    size = lambda x: F.col(f"{x}.size")
+    room = lambda x: size(x) - F.col(f"{x}.place")
+    share = threshold / (1 + threshold)
+    return F.least(room(a), room(b)) >= share * (size(a) + size(b)) - 1e-6
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b; written) that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, one = [], None, set()
+            for a, left, right in zip(batch.column("a").to_pylist(), batch.column("la").cast(pa.binary()), batch.column("lb").cast(pa.binary()), strict=True):
+                if a != last:
+                    last, one = a, shingles(left.as_py(), width)
+                two = shingles(right.as_py(), width)
+                both = len(one & two)
+                keep.append(both >= threshold * (len(one) + len(two) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct(), "pair-keys")
+    found = cut(texts.join(wanted.hint("merge"), "pid", "left_semi").dropDuplicates(["pid"]), "pair-texts")
+    left, right = (found.select(F.col("pid").alias(p), F.col("text").alias(f"l{p}")).hint("merge") for p in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row per row of ``df``: id and ``component``, the smallest identifier of its texts' group."""
+    texts = _texts(df, text_col)
+    rows = cut(prefixes(df, common_shingles(texts, width), width, threshold, id_col, text_col), "prefixes")
+    points = cut(rows.groupBy("pid").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "texts")
+    places = points.select("pid", "size", F.posexplode("prefix").alias("place", "shingle"))
+    tops = places.groupBy("shingle").agg(F.min(F.struct("pid", "size", "place")).alias("top"), F.max("pid").alias("most")).filter("top.pid < most").drop("most")
+    met = cut(places.join(cut(tops, "shared-shingles").hint("merge"), "shingle"), "shared-places").select("shingle", "top", F.struct("pid", "size", "place").alias("x"))
+    stars = met.filter((F.col("top.pid") < F.col("x.pid")) & _may_be_similar("top", "x", threshold))
+    stars = cut(stars.select(F.col("top.pid").alias("a"), F.col("x.pid").alias("b")).distinct(), "star-pairs")
+    links = cut(similar(stars, texts, width, threshold), "star-links")
+    roots = components(links)
+    # the other pairs, of shingles that are in more than one component
+    apart = met.join(roots, F.col("x.pid") == roots["node"], "left").select("shingle", "x", F.coalesce("root", "x.pid").alias("root"))
+    apart = cut(apart, "rooted-places")
+    mixed = apart.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("shingle")
+    apart = cut(apart.join(mixed, "shingle", "left_semi"), "mixed-places")
+    a, b = apart.select("shingle", F.col("x").alias("xa"), F.col("root").alias("ra")), apart.select("shingle", F.col("x").alias("xb"), F.col("root").alias("rb"))
+    rest = a.join(b.hint("merge"), "shingle").filter((F.col("xa.pid") < F.col("xb.pid")) & (F.col("ra") != F.col("rb")) & _may_be_similar("xa", "xb", threshold))
+    rest = rest.select(F.col("xa.pid").alias("a"), F.col("xb.pid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(similar(cut(rest, "other-pairs"), texts, width, threshold))
+    return named(rows.select("id", "pid"), points.select("pid", "first"), links).select("id", "component")
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that name their component, with its own columns: one document of each group."""
+    return keepers(df, similar_texts(df, id_col, text_col, **options), id_col)

@@ -36,3 +36,27 @@ def test_stages(spark):
     assert all(len(left & g) == 1 for g in groups.values()) and set(range(8, 40)) <= left
     assert set(seen["mixing"]) <= left and len(seen["mixing"]) > len(left)
     assert set(seen["packing"]) == set(seen["mixing"])
+
+
+def test_near_dedup_links_by_similarity(spark):
+    """Pairs just above 0.8 of the five-word shingles are linked, those just below are not."""
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, similarity = [], []
+    for k in range(160):
+        a = words(rng.randint(80, 400))
+        if k % 2:
+            b = a + words(int(len(a) * rng.uniform(0.17, 0.33)))
+        else:
+            b = [rng.choice(words(1)) if rng.random() < 0.026 else x for x in a]
+        one, two = sets(a), sets(b)
+        similarity.append(len(one & two) / len(one | two))
+        texts += [" ".join(a), " ".join(b)]
+    passage = " ".join(words(60))  # many texts share a passage
+    texts += [passage + " " + " ".join(words(60)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in pipeline.near_copies(spark, docs, "").collect()}
+    gone = {2 * k + 1 for k, x in enumerate(similarity) if x >= 0.8}
+    assert 40 < len(gone) < 150 and sum(0.8 <= x < 0.85 for x in similarity) > 20
+    assert set(range(len(texts))) - left == gone
