@@ -12,7 +12,7 @@ A district is at most about ``district_rows`` pieces, so no task grows with the
 are sequences of their own and take no part.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; rows with equal identifiers are
-told apart by a row number that the written pieces carry; very long texts give many pieces of one tokenizer call; an
+told apart by a row number that the written pieces carry, and so are rows without one; very long texts give many pieces of one tokenizer call; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -168,20 +168,21 @@ def evolve(size: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray],
     return max(pool, key=lambda x: x.worth)
 
 
-_ROW = "district long, island int, id long, row long, piece int, length long"
+_ROW = "district long, island int, row long, piece int, length long"
 
 
 def pack(parts: DataFrame, *, capacity: int = 1024, district_rows: int = 4096, full: float = 0.99, rounds: int = 6) -> DataFrame:
-    """``parts`` (from ``pieces``, written) with ``sequence_id`` and ``offset``."""
+    """``parts`` (from ``pieces``, written) with ``sequence_id`` and ``offset``. A piece is known by its row number and its
+    place, which are never null; identifiers may be."""
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "row", "piece"], kind="stable")
+        pdf = pdf.sort_values(["row", "piece"], kind="stable")
         island = int(pdf["island"].iloc[0])
         size = pdf["length"].to_numpy(np.int64)
         elites = [packed(size, capacity, np.argsort(-size * np.random.default_rng(island).uniform(0.9, 1.1, len(size)), kind="stable")).bin_of] if island else []
         return pdf.assign(bin=evolve(size, capacity, island + 1, elites).bin_of)
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["origin", "id", "row", "piece"], kind="stable")
+        pdf = pdf.sort_values(["origin", "row", "piece"], kind="stable")
         islands = [x for _, x in pdf.groupby("origin", sort=True)]
         own, island = islands[0].copy(), int(pdf["island"].iloc[0])
         size = own["length"].to_numpy(np.int64)
@@ -190,16 +191,16 @@ def pack(parts: DataFrame, *, capacity: int = 1024, district_rows: int = 4096, f
         own["bins"], own["worth"] = best.bins, best.worth[1]
         return own.drop(columns="origin")
 
-    done = parts.filter(F.col("length") >= capacity).select("id", "row", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    done = parts.filter(F.col("length") >= capacity).select("row", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     results = [done]
-    left = parts.filter(F.col("length") < capacity).select("id", "row", "piece", "length")
+    left = parts.filter(F.col("length") < capacity).select("row", "piece", "length")
     n = left.count()
     for r in range(rounds):
         if not n:
             break
         districts = -(-n // district_rows)
-        rows = left.withColumn("district", F.pmod(F.xxhash64("id", "row", "piece", F.lit(r)), F.lit(districts)).cast("long"))
-        rows = rows.select("district", F.explode(F.array(F.lit(0), F.lit(1))).alias("island"), "id", "row", "piece", "length")
+        rows = left.withColumn("district", F.pmod(F.xxhash64("row", "piece", F.lit(r)), F.lit(districts)).cast("long"))
+        rows = rows.select("district", F.explode(F.array(F.lit(0), F.lit(1))).alias("island"), "row", "piece", "length")
         one = rows.groupBy("district", "island").applyInPandas(first, f"{_ROW}, bin long")
         moved = one.withColumnRenamed("island", "origin").withColumn("island", F.explode(F.array(F.lit(0), F.lit(1))))
         two = cut(moved.groupBy("district", "island").applyInPandas(second, f"{_ROW}, bin long, fill long, bins long, worth double"), "pack-round")
@@ -210,13 +211,13 @@ def pack(parts: DataFrame, *, capacity: int = 1024, district_rows: int = 4096, f
         ready = won.filter(F.col("fill") >= enough)
         number = F.lit(r).cast("long") * (1 << 56) + F.col("district") * (1 << 20) + F.col("bin")
         # a bin has few pieces; its rows stay with their district
-        along = F.sum("length").over(Window.partitionBy("district", "bin").orderBy("id", "row", "piece").rowsBetween(Window.unboundedPreceding, 0))
-        results.append(ready.select("id", "row", "piece", number.alias("sequence_id"), (along - F.col("length")).cast("long").alias("offset")))
+        along = F.sum("length").over(Window.partitionBy("district", "bin").orderBy("row", "piece").rowsBetween(Window.unboundedPreceding, 0))
+        results.append(ready.select("row", "piece", number.alias("sequence_id"), (along - F.col("length")).cast("long").alias("offset")))
         if last:
             break
-        left = cut(won.filter(F.col("fill") < enough).select("id", "row", "piece", "length"), "pack-left")
+        left = cut(won.filter(F.col("fill") < enough).select("row", "piece", "length"), "pack-left")
         n = left.count()
     placed = results[0]
     for x in results[1:]:
         placed = placed.unionByName(x)
-    return parts.join(placed, ["id", "row", "piece"])
+    return parts.join(placed, ["row", "piece"]).select(*parts.columns, "sequence_id", "offset")

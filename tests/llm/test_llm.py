@@ -506,3 +506,19 @@ def test_null_identifiers(spark, vocabulary):
     assert mixing.mix(df).count() == 3 and sharding.shard(df, 2).count() == 3 and packing.pieces(df, vocabulary).count() == 3
     assert {r["id"]: r["n_dropped"] for r in line_dedup.mark(df).collect()} == {None: 0, 1: 1}
     assert langid.identify(df, langid.prototypes(df)).count() == 3 and math.isfinite(sum(r["score"] for r in langid.identify(df, {}).collect()))
+
+
+def test_packing_keeps_null_identifiers(spark, vocabulary):
+    from quarry.llm.common import cut
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(None if i % 3 else i, prose(rng, rng.randint(1, 90))) for i in range(60)], "doc_id long, text string")
+    parts = cut(packing.pieces(df, vocabulary, capacity=64), "p")
+    out = packing.pack(parts, capacity=64, district_rows=16).collect()
+    assert Counter((r["row"], r["piece"]) for r in out) == Counter((r["row"], r["piece"]) for r in parts.collect())
+    assert len({r["row"] for r in out if r["id"] is None}) == 40
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        assert all(at == sum(n for _, n in sorted(s)[:i]) for i, (at, _) in enumerate(sorted(s))) and sum(n for _, n in s) <= 64
