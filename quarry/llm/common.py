@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.shared import cut, shared_folder
 
-__all__ = ["SPACE", "SPACE_CHARS", "ascii_lower", "count_chars", "cut", "shared_folder", "text_or_empty", "words"]
+__all__ = ["SPACE", "SPACE_CHARS", "ascii_lower", "count_chars", "cut", "dropped", "restricted", "shared_folder", "text_or_empty", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space that separates words: the space and U+0009 to U+000D.
@@ -31,5 +31,22 @@ def count_chars(text: Column, chars: str) -> Column:
 
 def words(text: Column) -> Column:
     """The maximal runs of characters other than white space, in order."""
-    trimmed = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+    split = F.split(F.btrim(text, F.lit(SPACE_CHARS)), f"[{SPACE}]+")  # of an empty text: one empty word
+    return F.array_remove(split, "")
+
+
+def _few(keys: DataFrame, max_rows: int) -> bool:
+    return keys.limit(max_rows + 1).count() <= max_rows
+
+
+def restricted(df: DataFrame, keys: DataFrame, on: str, *, max_rows: int = 1 << 20) -> DataFrame:
+    """The rows of ``df`` whose ``on`` is in ``keys`` (``on``; written, distinct, a number). The keys go to every task
+    where they are at most ``max_rows``, so that ``df`` stays where it is; else both sides are shuffled."""
+    return df.join(keys.hint("broadcast" if _few(keys, max_rows) else "merge"), on, "left_semi")
+
+
+def dropped(df: DataFrame, ids: DataFrame, id_col: str, *, max_rows: int = 1 << 20) -> DataFrame:
+    """The rows of ``df`` whose identifier is not in ``ids`` (id; written, distinct); null is an identifier like any
+    other. Broadcast or shuffled as in ``restricted``."""
+    gone = ids.select(F.col("id").alias("_gone_id")).hint("broadcast" if _few(ids, max_rows) else "merge")
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")

@@ -1,28 +1,39 @@
-"""SimHash near-duplicates found through a vantage-point tree.
-
-A fingerprint has a bit set where over half of the text's shingle hashes have it set. Distinct fingerprints are the
-points; two link at ``radius`` or fewer differing bits. A vantage-point tree is fitted on a bounded sample (it only
-decides the balance, never the result): a node's vantage point splits its points at the median Hamming distance. By the
-triangle inequality a fingerprint within ``radius`` of another can only be in leaves whose distance shells, widened by
-``radius``, hold the latter; all other branches are pruned. So each fingerprint is stored in its own leaf and sent as a
-query to the overlapping leaves that come later in the tree, which finds every pair once. A leaf is a task: it compares
-its points exactly, in blocks, and returns a spanning forest of the links, which is all that components need.
-
-A leaf with more points than ``leaf_rows`` (a dense cluster that the sample did not resolve) is dealt in slices: each
-slice holds a part of the points and every pair of slices is its own task.
-
-Components are found by alternating large-star and small-star steps, with lineage cut at each step. A fingerprint's
-component is the smallest identifier reachable; rows take it by an equi-join, whose hot keys Spark splits.
+"""SimHash near-duplicates found through vantage-point trees.
+
+A fingerprint has a bit set where over half of the text's shingle hashes have it set; further words of a long
+fingerprint come from the same hashes, mixed anew. A vantage-point tree partitions fingerprints by Hamming distance: a
+node's vantage point splits its points at their median distance. It is fitted on a bounded sample, which only decides the
+balance, never the result. By the triangle inequality a fingerprint within ``near`` bits of another can only be in leaves
+whose distance shells, widened by ``near``, hold the latter; all other branches are pruned. So each fingerprint is stored
+in its own leaf and sent as a query to the overlapping leaves that come later in the tree, and every pair within ``near``
+bits meets once. Whole words are too long for that: the distances of unlike texts lie close together. The trees therefore
+stand over blocks of bits, one tree for each block, whose distance obeys the triangle inequality as well.
+
+``near_copies`` links fingerprints of one word at ``radius`` or fewer differing bits. It is exact: two within ``radius``
+are within radius // parts bits in one of ``parts`` blocks, and every pair met is compared on all bits.
+
+``similar_texts`` links texts that share at least ``threshold`` of their shingles. The trees over the blocks of a long
+fingerprint find candidates, whose bounds follow from the angle between shingle sets at the threshold, not from data; each
+candidate pair is then compared on the shingles' hashes. In a first round every text meets its nearest neighbours of each
+leaf, which joins nearly all groups with few pairs; in a second one, texts that had more neighbours than that meet those
+of other groups. A pair at the threshold is missed with a probability below one per cent, and less above it.
+
+A leaf with more points than ``8 * leaf_rows`` is dealt in slices, of points and of queries: every pair of slices is a
+task of its own. Components are found by alternating large-star and small-star steps, with lineage cut at each step. A
+component is named by the smallest identifier reachable; rows take it by an equi-join, whose hot keys Spark splits.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a text with fewer words than a
-shingle has one shingle, its whole word sequence; equal texts and repeated rows have equal fingerprints and components;
-null identifiers never name a component unless it has no other; an empty table gives an empty result; other columns are
-ignored by ``components`` and passed through by ``drop_near_copies``, whatever their names.
+shingle has one shingle, its whole word sequence; very long texts are read whole, in memory that grows with their length;
+equal texts and repeated rows have equal fingerprints and components; null identifiers never name a component unless it
+has no other; an empty table gives an empty result; other columns are ignored and, by the functions that drop rows, passed
+through whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,41 +42,60 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, text_or_empty
+from quarry.llm.common import cut, dropped, restricted, text_or_empty
 
 ONES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The fingerprint of a UTF-8 text: bytes.lower and bytes.split know ASCII letters and white space only."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text: bytes.lower and bytes.split know ASCII letters and white space only."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype=np.uint64)
-    counts = np.zeros(64, dtype=np.int64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype=np.uint64)
+
+
+def mixed_words(h: np.ndarray, words: int) -> np.ndarray:
+    """The hashes, and ``words - 1`` further ones of each by the finaliser of the SplitMix generator."""
+    out = np.empty((words, len(h)), np.uint64)
+    out[0] = h
+    z = h[None, :] + (np.arange(1, words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    out[1:] = z ^ (z >> np.uint64(31))
+    return out
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """Of hashes (words, n): the bits that over half of the n have set, as ``words`` numbers."""
+    words, n = h.shape
+    counts = np.zeros((words, 64), dtype=np.int64)
+    pad = np.zeros((words, -n % 255), np.uint64)
     for b in range(8):  # bit b of all eight bytes at once, in sums that fit a byte
-        part = (h >> np.uint64(b)) & ONES
-        pad = -len(part) % 255
-        sums = np.add.reduce(np.concatenate([part, np.zeros(pad, np.uint64)]).reshape(-1, 255), axis=1)
-        counts[b::8] = sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(h))))
+        part = np.concatenate([(h >> np.uint64(b)) & ONES, pad], axis=1).reshape(words, -1, 255)
+        counts[:, b::8] = np.add.reduce(part, axis=2).view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The fingerprint of one word, over all shingles, repeats included."""
+    h = shingle_hashes(text, width)
+    return int(majority(h[None, :])[0]) if len(h) else 0
 
 
-def fingerprints(df: DataFrame, widths: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id and a fingerprint ``f0``, ``f1``, ... for each shingle width."""
+def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: id and its fingerprint ``f0``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            found = np.array([[fingerprint(t.as_py(), w) for w in widths] for t in texts], dtype=np.uint64).reshape(-1, len(widths)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(found[:, k]) for k in range(len(widths))]], names=["id", *[f"f{k}" for k in range(len(widths))]])
+            found = np.array([fingerprint(t.as_py(), width) for t in batch.column("text").cast(pa.binary())], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found)], names=["id", "f0"])
 
-    schema = "id long, " + ", ".join(f"f{k} long" for k in range(len(widths)))
-    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, f0 long")
 
 
 class Tree:
@@ -122,24 +152,99 @@ class Tree:
                 todo += [(inner, rows[d - radius <= mu], False), (outer, rows[d + radius > mu], False)]
 
 
-def _masks(parts: int) -> list[int]:
-    edges = [64 * i // parts for i in range(parts + 1)]
-    return [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
+@dataclass
+class Forest:
+    """Trees over blocks of bits: ``word[k]`` is the number of the fingerprint's word in which block k lies."""
+
+    trees: list[Tree]
+    word: list[int]
+    near: int
+    most: int
+
+
+def planted(points: DataFrame, blocks: list[tuple[int, int]], near: int, *, leaf_rows: int, sample_rows: int) -> Forest:
+    """Trees over ``blocks`` (word, mask) of the ``points`` (f0, f1, ...)."""
+    n = points.count()
+    share = min(1.0, sample_rows / max(1, n))
+    names = [f"f{w}" for w in sorted({w for w, _ in blocks})]
+    hashed = F.pmod(F.xxhash64("f0", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = points.filter(hashed).select(*names).limit(2 * sample_rows).toArrow()
+    columns = {c: sample.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in names}
+    leaf_points = max(4, int(leaf_rows * sample.num_rows / max(1, n)))
+    trees = [Tree(columns[f"f{w}"], mask, leaf_points, seed=k) for k, (w, mask) in enumerate(blocks)]
+    return Forest(trees, [w for w, _ in blocks], near, 8 * leaf_rows)
+
+
+def _slice_of(pid: np.ndarray, slices: int) -> np.ndarray:
+    return ((pid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % slices
+
+
+def routed(points: DataFrame, forest: Forest, carried: Callable[[int], list[str]]) -> DataFrame:
+    """``points`` (pid, f0, ...; written) in their own and all overlapping leaves of each tree, as tasks (part, leaf, i, j).
+    Role 0: compare with all rows of the task; role 1: a slice that is compared with role 0 only, of which nothing else
+    is wanted here; role 2: queries from other leaves. ``carried(word)`` names the columns that come along."""
+    trees, word, near, most = forest.trees, forest.word, forest.near, forest.most
 
+    def values(batch: pa.RecordBatch, k: int) -> np.ndarray:
+        return batch.column(f"f{word[k]}").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-def _forest(pdf: pd.DataFrame, radius: int, confirm: int | None) -> pd.DataFrame:
-    """A spanning forest of the links of a leaf's points (role 0) among themselves and with role 1 and 2."""
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(k, at, len(rows) if home else 0, 0 if home else len(rows)) for k, tree in enumerate(trees) for at, rows, home in tree.route(values(batch, k), near, True)]
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["part", "leaf", "homes", "queries"])
+
+    words = sorted({f"f{w}" for w in word})
+    found = points.select(*words).mapInArrow(sizes, "part int, leaf int, homes long, queries long").groupBy("part", "leaf").agg(F.sum("homes").alias("homes"), F.sum("queries").alias("queries"))
+    large = found.filter((F.col("homes") > most) | (F.col("queries") > most)).collect()  # leaves are bounded by the sample
+    slices = {(r["part"], r["leaf"]): (max(1, -(-r["homes"] // most)), max(1, -(-r["queries"] // most))) for r in large}
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pid = batch.column("pid").to_numpy(zero_copy_only=False).astype(np.int64)
+            for k, tree in enumerate(trees):
+                out: list[tuple[np.ndarray, ...]] = []
+                for at, rows, home in tree.route(values(batch, k), near, True):
+                    s, u = slices.get((k, at), (1, 1))
+                    same = np.zeros(len(rows), np.int32)
+                    mine = _slice_of(pid[rows], s if home else u)
+                    for t in range(s):
+                        if home:  # to the tasks of its slice and each other slice, and of its slice and each further slice of queries
+                            out.append((same + at, np.minimum(mine, t), np.maximum(mine, t), (mine > t).astype(np.int32), rows))
+                        else:
+                            out.append((same + at, same + t, np.where(mine == 0, t, s + mine - 1), np.where(mine == 0, 2, 1), rows))
+                    for q in range(1, u if home else 1):
+                        out.append((same + at, mine, same + s + q - 1, same, rows))
+                if out:
+                    leaf, i, j, role, rows = (np.concatenate(c) for c in zip(*out, strict=True))
+                    took = batch.take(pa.array(rows))
+                    keys = [pa.array(np.full(len(rows), k), pa.int32()), *[pa.array(c, pa.int32()) for c in (leaf, i, j, role)]]
+                    own = ["pid", *carried(word[k])]
+                    yield pa.RecordBatch.from_arrays([*keys, *[took.column(c) for c in own]], names=["part", "leaf", "i", "j", "role", "pid", *[f"c{n}" for n in range(len(own) - 1)]])
+
+    extra = len(carried(0))
+    schema = "part int, leaf int, i int, j int, role int, pid long" + "".join(f", c{n} long" for n in range(extra))
+    needed = dict.fromkeys(["pid", *words, *[c for w in sorted(set(word)) for c in carried(w)]])
+    return points.select(*needed).mapInArrow(dealt, schema)
+
+
+TASK = ["part", "leaf", "i", "j"]
+
+
+def _unsigned(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(np.int64).view(np.uint64)
+
+
+def _forest(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """A spanning forest of the links of a leaf's points (role 0) among themselves and with the other roles."""
     pdf = pdf.sort_values(["role", "pid"], kind="stable")
-    f, check, pid, role = pdf["f0"].to_numpy(np.int64).view(np.uint64), pdf["f1"].to_numpy(np.int64).view(np.uint64), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
+    f, pid, role = _unsigned(pdf["c0"]), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
     own = int(np.count_nonzero(role == 0))
     label = np.arange(len(pdf))
-    cross_only = own and role[-1] == 1  # two slices: only links between them are wanted here
+    cross_only = bool(own and (role == 1).any())  # two slices: only links between them are wanted here
     step = max(1, 4_000_000 // max(1, len(pdf)))
     for lo in range(0, own, step):
         near = np.bitwise_count(f[lo : min(lo + step, own), None] ^ f[None, :]) <= radius
-        if confirm is not None:
-            a, b = np.nonzero(near)
-            near[a, b] = np.bitwise_count(check[lo + a] ^ check[b]) <= confirm
         if cross_only:
             near[:, :own] = False
         for i in np.flatnonzero(np.count_nonzero(near, axis=1) > (0 if cross_only else 1)):
@@ -150,58 +255,19 @@ def _forest(pdf: pd.DataFrame, radius: int, confirm: int | None) -> pd.DataFrame
     return pd.DataFrame({"a": pid[label[linked]], "b": pid[linked]})
 
 
-def links(points: DataFrame, radius: int = 3, confirm: int | None = None, *, parts: int | None = None, leaf_rows: int = 1024, sample_rows: int = 200_000) -> DataFrame:
-    """Links (a, b) between ``points`` (pid, f0, f1; written, distinct): enough of those at ``radius`` or fewer bits of
-    f0 (and ``confirm`` or fewer of f1) to join all that are linked.
-
-    The bits are cut into ``parts`` blocks with a tree each. Two fingerprints within ``radius`` are within
-    radius // parts in some block, by which that block's tree prunes; the distance of a block obeys the triangle
-    inequality like the whole one, and narrow radii overlap few shells. Every pair met is compared on all bits.
-    """
+def links(points: DataFrame, radius: int = 3, *, parts: int | None = None, leaf_rows: int = 1024, sample_rows: int = 200_000) -> DataFrame:
+    """Links (a, b) between ``points`` (pid, f0; written, distinct): enough of those at ``radius`` or fewer bits to join
+    all that are linked. Within ``radius`` bits in all is within radius // parts bits in one of ``parts`` blocks."""
     parts = parts or max(1, (radius + 2) // 2)
-    n = points.count()
-    share = min(1.0, sample_rows / max(1, n))
-    hashed = F.pmod(F.xxhash64("pid", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = np.array([r[0] for r in points.filter(hashed).select("f0").limit(2 * sample_rows).collect()], dtype=np.int64).view(np.uint64)
-    trees = [Tree(sample, m, max(4, int(leaf_rows * len(sample) / max(1, n))), seed=k) for k, m in enumerate(_masks(parts))]
-    near = radius // parts
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("f0").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            part, leaf, count = [], [], []
-            for k, tree in enumerate(trees):
-                for at, rows, _ in tree.route(x, near, False):
-                    part.append(k), leaf.append(at), count.append(len(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(leaf, pa.int32()), pa.array(count, pa.int64())], names=["part", "leaf", "n"])
-
-    most = 8 * leaf_rows
-    sizes = points.select("f0").mapInArrow(homes, "part int, leaf int, n long").groupBy("part", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
-    slices = {(r["part"], r["leaf"]): -(-r["n"] // most) for r in sizes.collect()}  # leaves are bounded by the sample
+    edges = [64 * i // parts for i in range(parts + 1)]
+    blocks = [(0, sum(1 << b for b in range(lo, hi))) for lo, hi in zip(edges, edges[1:], strict=False)]
+    forest = planted(points, blocks, radius // parts, leaf_rows=leaf_rows, sample_rows=sample_rows)
+    return routed(points, forest, lambda w: ["f0"]).groupBy(*TASK).applyInPandas(lambda pdf: _forest(pdf, radius), "a long, b long")
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("f0").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            pid = batch.column("pid").to_numpy(zero_copy_only=False)
-            for k, tree in enumerate(trees):
-                out: list[tuple[np.ndarray, ...]] = []
-                for at, rows, home in tree.route(x, near, True):
-                    s = slices.get((k, at), 1)
-                    mine = pid[rows] % s
-                    for t in range(s):
-                        if home:  # to the tasks of its slice and each other slice
-                            lo, hi, role = np.minimum(mine, t), np.maximum(mine, t), (mine > t).astype(np.int32)
-                        else:
-                            lo, hi, role = np.full(len(rows), t), np.full(len(rows), t), np.full(len(rows), 2, np.int32)
-                        out.append((np.full(len(rows), at), lo, hi, role, rows))
-                if out:
-                    leaf, lo, hi, role, rows = (np.concatenate(c) for c in zip(*out, strict=True))
-                    cols = [pa.array(np.full(len(rows), k), pa.int32()), *[pa.array(c, pa.int32()) for c in (leaf, lo, hi, role)]]
-                    took = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([*cols, *[took.column(c) for c in ("pid", "f0", "f1")]], names=["part", "leaf", "i", "j", "role", "pid", "f0", "f1"])
 
-    routed = points.select("pid", "f0", "f1").mapInArrow(dealt, "part int, leaf int, i int, j int, role int, pid long, f0 long, f1 long")
-    return routed.groupBy("part", "leaf", "i", "j").applyInPandas(lambda pdf: _forest(pdf, radius, confirm), "a long, b long")
+def _state(edges: DataFrame) -> tuple:
+    """What tells one round's edges from the next one's; no sum that could overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,7 +284,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "b")  # smaller neighbours, and the node itself, go to the smallest
         small = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a != b").distinct()
         edges = cut(small, "cc-edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+        state = _state(edges)
         if state == seen:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = state
@@ -234,24 +300,165 @@ def named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(table, "pid")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 3, confirm: tuple[int, int] | None = None, **options) -> DataFrame:
-    """One row per row of ``df``: id, ``f0`` and ``component``. ``confirm`` = (width, bits): links must also be within
-    so many bits of a second fingerprint, over shingles of that width."""
-    prints = fingerprints(df, (width, confirm[0]) if confirm else (width,), id_col, text_col)
-    if not confirm:
-        prints = prints.withColumn("f1", F.lit(0).cast("long"))
-    prints = cut(prints.withColumn("pid", F.xxhash64("f0", "f1") if confirm else F.col("f0")), "fingerprints")
-    points = cut(prints.groupBy("pid", "f0", "f1").agg(F.min("id").alias("first")), "points")
-    return named(prints, points, links(points, radius, confirm[1] if confirm else None, **options)).select("id", "f0", "component")
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 3, **options) -> DataFrame:
+    """One row per row of ``df``: id, ``f0`` and ``component``."""
+    prints = cut(fingerprints(df, width, id_col, text_col).withColumn("pid", F.col("f0")), "fingerprints")
+    points = cut(prints.groupBy("pid", "f0").agg(F.min("id").alias("first")), "points")
+    return named(prints, points, links(points, radius, **options)).select("id", "f0", "component")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that name their component, with its own columns: one document of each group. Rows without an
-    identifier cannot be chosen between and stay where no identifier names their component."""
+    """The rows of ``df`` that name their component, with its own columns: one document of each group."""
     return keepers(df, near_copies(df, id_col, text_col, **options), id_col)
 
 
 def keepers(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose identifier names their component in ``found`` (id, component)."""
-    keep = cut(found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_sh_id")).distinct(), "near-keepers")
-    return df.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("_sh_id")), "left_semi")  # grows with the input
+    """The rows of ``df`` whose identifier names a component in ``found`` (id, component). Rows without an identifier
+    cannot be chosen between: they stay where no identifier names their component, and else go."""
+    stays = found.groupBy("id").agg(F.bool_or(F.col("id").eqNullSafe(F.col("component"))).alias("stays"))
+    return dropped(df, cut(stays.filter("NOT stays").select("id"), "near-dropped"), id_col)
+
+
+# ---- similarity of shingle sets
+
+WORDS = 8
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """By how many bits texts at the similarity differ, at most (to three standard deviations): the angle between the
+    shingle sets gives the share of bits, as hyperplanes through it are random."""
+
+    threshold: float
+
+    def bits(self, n: int) -> int:
+        p = math.acos(2 * self.threshold / (1 + self.threshold)) / math.pi
+        return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
+
+
+#: Two blocks of 16 bits in each word. Texts at 0.8 differ by one bit or none in a block with a probability of 0.28.
+BLOCKS = [(w, 0xFFFF << shift) for w in range(WORDS) for shift in (0, 32)]
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct shingles' hashes in order; a text without words has the hash 0."""
+    h = shingle_hashes(text, width)
+    return np.unique(h) if len(h) else np.zeros(1, np.uint64)
+
+
+def long_fingerprints(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``df``: id, row, f0 to f7 over the set of shingles, and ``grams``, the set as 32 bits of each
+    hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, grams = np.zeros((len(batch), WORDS), np.uint64), []
+            for i, t in enumerate(batch.column("text").cast(pa.binary())):
+                h = shingle_set(t.as_py(), width)
+                prints[i] = majority(mixed_words(h, WORDS))
+                grams.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
+            own = [batch.column("id"), batch.column("row"), *[pa.array(prints[:, k].view(np.int64)) for k in range(WORDS)], pa.array(grams, pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, names=["id", "row", *[f"f{k}" for k in range(WORDS)], "grams"])
+
+    schema = "id long, row long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", grams binary"
+    return df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def _nearest(pdf: pd.DataFrame, bits: tuple[int, int], k: int) -> pd.DataFrame:
+    """For each row of a task its ``k`` nearest candidates, and whether it has ``more``. Columns c0 and c1: two words."""
+    pdf = pdf.sort_values(["role", "pid"], kind="stable")
+    f, g, pid, role = _unsigned(pdf["c0"]), _unsigned(pdf["c1"]), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
+    own = int(np.count_nonzero(role == 0))
+    cross_only = bool((role == 1).any())
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def meet(lo: int, hi: int, first: int, last: int) -> None:
+        step = max(1, 4_000_000 // max(1, last - first))
+        for at in range(lo, hi, step):
+            a, b = np.nonzero(np.bitwise_count(f[at : min(at + step, hi), None] ^ f[None, first:last]) <= bits[0])
+            a, b = a + at, b + first
+            a, b = a[a != b], b[a != b]
+            d = np.bitwise_count(f[a] ^ f[b]) + np.bitwise_count(g[a] ^ g[b])
+            a, b, d = a[d <= bits[1]], b[d <= bits[1]], d[d <= bits[1]]
+            order = np.lexsort((pid[b], d, a))
+            a, b = a[order], b[order]
+            start = np.searchsorted(a, a)
+            nth = np.arange(len(a)) - start
+            many = (np.searchsorted(a, a, side="right") - start) > k
+            found.append((pid[a[nth < k]], pid[b[nth < k]], many[nth < k]))
+
+    meet(0, own, own if cross_only else 0, len(pdf))
+    meet(own, len(pdf), 0, own)
+    a, b, more = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    return pd.DataFrame({"a": a, "b": b, "more": more})
+
+
+def _across(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """All candidate pairs of a task whose roots differ. Columns c0 to c7: the words; c8: the root."""
+    pdf = pdf.sort_values(["role", "pid"], kind="stable")
+    f = [_unsigned(pdf[f"c{w}"]) for w in range(WORDS)]
+    root, pid, role = pdf[f"c{WORDS}"].to_numpy(np.int64), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
+    own = int(np.count_nonzero(role == 0))
+    first = own if (role == 1).any() else 0
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, 1_000_000 // max(1, len(pdf) - first))
+    for at in range(0, own, step):
+        hi = min(at + step, own)
+        d = np.zeros((hi - at, len(pdf) - first), np.uint16)
+        for w in range(WORDS):
+            d += np.bitwise_count(f[w][at:hi, None] ^ f[w][None, first:])
+        a, b = np.nonzero((d <= bits) & (root[at:hi, None] != root[None, first:]))
+        a, b = pid[a + at], pid[b + first]
+        found.append((np.minimum(a, b), np.maximum(a, b)))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def similar(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b; written) whose shingle sets are similar enough. Only the sets of rows that are in a
+    pair move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column("la"), batch.column("lb"), strict=True):
+                one, two = (np.frombuffer(x.as_py(), "<u4") for x in (left, right))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= threshold * (len(one) + len(two) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair-keys")
+    sets = cut(restricted(prints.select("row", "grams"), wanted, "row"), "pair-sets")
+    left, right = (sets.select(F.col("row").alias(p), F.col("grams").alias(f"l{p}")).hint("merge") for p in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, threshold: float = 0.8, neighbours: int = 2, leaf_rows: int = 2048, sample_rows: int = 100_000) -> DataFrame:
+    """One row per row of ``df``: id and ``component``, the smallest identifier of its texts' group."""
+    bound = Bounds(threshold)
+    words = [f"f{k}" for k in range(WORDS)]
+    prints = cut(long_fingerprints(df, width, id_col, text_col), "long-fingerprints")
+    # rows with equal fingerprints are one point; a text of them stands for it
+    points = cut(prints.groupBy(*words).agg(F.min("id").alias("first"), F.min("row").alias("pid")), "points")
+    forest = planted(points, BLOCKS, 1, leaf_rows=leaf_rows, sample_rows=sample_rows)
+    tasks = routed(points, forest, lambda w: [f"f{w}", f"f{(w + 1) % WORDS}"]).groupBy(*TASK)
+    limits = bound.bits(64), bound.bits(128)
+    met = cut(tasks.applyInPandas(lambda pdf: _nearest(pdf, limits, neighbours), "a long, b long, more boolean"), "nearest")
+    pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest-pairs")
+    found = cut(similar(pairs, prints, threshold), "near-links")
+    # texts that had more candidates than they met: the others of theirs that are still in different groups
+    crowded = cut(met.filter("more").select(F.col("a").alias("pid")).distinct(), "crowded")
+    roots = components(found)
+    left = restricted(points, crowded, "pid").join(roots, F.col("pid") == F.col("node"), "left").select("pid", *words, F.coalesce("root", "pid").alias("root"))
+    tasks = routed(cut(left, "crowded-points"), forest, lambda w: [*words, "root"]).groupBy(*TASK)
+    most = bound.bits(64 * WORDS)
+    rest = cut(tasks.applyInPandas(lambda pdf: _across(pdf, most), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+    edges = found.unionByName(similar(rest, prints, threshold))
+    rows = prints.select("id", *words).join(points.select("pid", *words), words).select("id", "pid")
+    return named(rows, points.select("pid", "first"), edges).select("id", "component")
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that name their component, with its own columns: one document of each group."""
+    return keepers(df, similar_texts(df, id_col, text_col, **options), id_col)
