@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, packing, quality, similar
+from quarry.llm import exact_dedup, mixing, packing, quality, simhash
 from quarry.llm.common import cut
 from quarry.llm.queries import vocabulary
 
@@ -27,7 +27,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest identifier stays. Near means that two texts share
     0.8 or more of their five-word shingles."""
-    return similar.drop_similar(docs, width=5, threshold=0.8)
+    return simhash.drop_similar(docs, width=5, threshold=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
