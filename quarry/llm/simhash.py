@@ -14,9 +14,10 @@ are within radius // parts bits in one of ``parts`` blocks, and every pair met i
 
 ``similar_texts`` links texts that share at least ``threshold`` of their shingles. The trees over the blocks of a long
 fingerprint find candidates, whose bounds follow from the angle between shingle sets at the threshold, not from data; each
-candidate pair is then compared on the shingles' hashes. In a first round every text meets its nearest neighbours of each
-leaf, which joins nearly all groups with few pairs; in a second one, texts that had more neighbours than that meet those
-of other groups. A pair at the threshold is missed with a probability below one per cent, and less above it.
+candidate pair is then compared on the shingles' hashes. In a first round every text meets its nearest neighbours, which
+joins nearly all groups with few pairs; in a second one, texts that had more neighbours than that meet those of other
+groups, by fingerprints four times as long. A pair at the threshold is missed with a probability of about one per cent,
+and less above it. Work grows with the square of a group only where its texts are near the threshold, but below it.
 
 A leaf with more points than ``8 * leaf_rows`` is dealt in slices, of points and of queries: every pair of slices is a
 task of its own. Components are found by alternating large-star and small-star steps, with lineage cut at each step. A
@@ -182,7 +183,7 @@ def _slice_of(pid: np.ndarray, slices: int) -> np.ndarray:
 def routed(points: DataFrame, forest: Forest, carried: Callable[[int], list[str]]) -> DataFrame:
     """``points`` (pid, f0, ...; written) in their own and all overlapping leaves of each tree, as tasks (part, leaf, i, j).
     Role 0: compare with all rows of the task; role 1: a slice that is compared with role 0 only, of which nothing else
-    is wanted here; role 2: queries from other leaves. ``carried(word)`` names the columns that come along."""
+    is wanted here; role 2: queries from other leaves. ``carried(word)`` names the columns that come along, as c0, c1, ..."""
     trees, word, near, most = forest.trees, forest.word, forest.near, forest.most
 
     def values(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -222,8 +223,8 @@ def routed(points: DataFrame, forest: Forest, carried: Callable[[int], list[str]
                     own = ["pid", *carried(word[k])]
                     yield pa.RecordBatch.from_arrays([*keys, *[took.column(c) for c in own]], names=["part", "leaf", "i", "j", "role", "pid", *[f"c{n}" for n in range(len(own) - 1)]])
 
-    extra = len(carried(0))
-    schema = "part int, leaf int, i int, j int, role int, pid long" + "".join(f", c{n} long" for n in range(extra))
+    kinds = dict(points.dtypes)
+    schema = "part int, leaf int, i int, j int, role int, pid long" + "".join(f", c{n} {kinds[c]}" for n, c in enumerate(carried(0)))
     needed = dict.fromkeys(["pid", *words, *[c for w in sorted(set(word)) for c in carried(w)]])
     return points.select(*needed).mapInArrow(dealt, schema)
 
@@ -321,7 +322,8 @@ def keepers(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
 
 # ---- similarity of shingle sets
 
-WORDS = 8
+#: Words of the fingerprints that all texts get, and of those that crowded texts get as well.
+WORDS, LONG = 8, 32
 
 
 @dataclass(frozen=True)
@@ -364,57 +366,65 @@ def long_fingerprints(df: DataFrame, width: int, id_col: str, text_col: str) ->
     return df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _candidates(f: np.ndarray, own: int, cross_only: bool, bits: int, both_ways: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of the rows of a task that differ by at most ``bits`` bits of ``f``, in parts. The first ``own`` rows
+    meet all; with ``both_ways`` the others meet them as well."""
+    for lo, hi, first, last in [(0, own, own if cross_only else 0, len(f)), *([(own, len(f), 0, own)] if both_ways else [])]:
+        step = max(1, 4_000_000 // max(1, last - first))
+        for at in range(lo, hi, step):
+            a, b = np.nonzero(np.bitwise_count(f[at : min(at + step, hi), None] ^ f[None, first:last]) <= bits)
+            a, b = a + at, b + first
+            yield a[a != b], b[a != b]
+
+
 def _nearest(pdf: pd.DataFrame, bits: tuple[int, int], k: int) -> pd.DataFrame:
     """For each row of a task its ``k`` nearest candidates, and whether it has ``more``. Columns c0 and c1: two words."""
     pdf = pdf.sort_values(["role", "pid"], kind="stable")
     f, g, pid, role = _unsigned(pdf["c0"]), _unsigned(pdf["c1"]), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
-    own = int(np.count_nonzero(role == 0))
-    cross_only = bool((role == 1).any())
-    found: list[tuple[np.ndarray, ...]] = []
-
-    def meet(lo: int, hi: int, first: int, last: int) -> None:
-        step = max(1, 4_000_000 // max(1, last - first))
-        for at in range(lo, hi, step):
-            a, b = np.nonzero(np.bitwise_count(f[at : min(at + step, hi), None] ^ f[None, first:last]) <= bits[0])
-            a, b = a + at, b + first
-            a, b = a[a != b], b[a != b]
-            d = np.bitwise_count(f[a] ^ f[b]) + np.bitwise_count(g[a] ^ g[b])
-            a, b, d = a[d <= bits[1]], b[d <= bits[1]], d[d <= bits[1]]
-            order = np.lexsort((pid[b], d, a))
-            a, b = a[order], b[order]
-            start = np.searchsorted(a, a)
-            nth = np.arange(len(a)) - start
-            many = (np.searchsorted(a, a, side="right") - start) > k
-            found.append((pid[a[nth < k]], pid[b[nth < k]], many[nth < k]))
-
-    meet(0, own, own if cross_only else 0, len(pdf))
-    meet(own, len(pdf), 0, own)
-    a, b, more = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-    return pd.DataFrame({"a": a, "b": b, "more": more})
-
-
-def _across(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """All candidate pairs of a task whose roots differ. Columns c0 to c7: the words; c8: the root."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for a, b in _candidates(f, int(np.count_nonzero(role == 0)), bool((role == 1).any()), bits[0], True):
+        d = np.bitwise_count(f[a] ^ f[b]).astype(np.int64) + np.bitwise_count(g[a] ^ g[b])
+        near = d <= bits[1]
+        a, b, d = a[near], b[near], d[near]
+        order = np.lexsort((pid[b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        start = np.searchsorted(a, a)
+        first = np.arange(len(a)) - start < k
+        many = np.searchsorted(a, a, side="right") - start > k
+        found.append((pid[a[first]], pid[b[first]], d[first], many[first]))
+    a, b, d, more = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pd.DataFrame({"a": a, "b": b, "d": d, "more": more})
+
+
+def _across(pdf: pd.DataFrame, bits: tuple[int, int]) -> pd.DataFrame:
+    """All candidate pairs of a task whose roots differ. Columns c0: a word; c1: the root; c2: the longer fingerprint."""
     pdf = pdf.sort_values(["role", "pid"], kind="stable")
-    f = [_unsigned(pdf[f"c{w}"]) for w in range(WORDS)]
-    root, pid, role = pdf[f"c{WORDS}"].to_numpy(np.int64), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
-    own = int(np.count_nonzero(role == 0))
-    first = own if (role == 1).any() else 0
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    step = max(1, 1_000_000 // max(1, len(pdf) - first))
-    for at in range(0, own, step):
-        hi = min(at + step, own)
-        d = np.zeros((hi - at, len(pdf) - first), np.uint16)
-        for w in range(WORDS):
-            d += np.bitwise_count(f[w][at:hi, None] ^ f[w][None, first:])
-        a, b = np.nonzero((d <= bits) & (root[at:hi, None] != root[None, first:]))
-        a, b = pid[a + at], pid[b + first]
-        found.append((np.minimum(a, b), np.maximum(a, b)))
-    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+    f, root, pid, role = _unsigned(pdf["c0"]), pdf["c1"].to_numpy(np.int64), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
+    long = np.frombuffer(b"".join(pdf["c2"]), "<u8").reshape(len(pdf), -1)
+    found = [np.zeros((0, 2), np.int64)]
+    for a, b in _candidates(f, int(np.count_nonzero(role == 0)), bool((role == 1).any()), bits[0], False):
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        for at in range(0, len(a), 100_000):
+            x, y = a[at : at + 100_000], b[at : at + 100_000]
+            near = np.bitwise_count(long[x] ^ long[y]).sum(axis=1, dtype=np.int64) <= bits[1]
+            pairs = np.sort(np.stack([pid[x[near]], pid[y[near]]], axis=1), axis=1)
+            found.append(np.unique(pairs, axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def longer(prints: DataFrame) -> DataFrame:
+    """(row, long): fingerprints of ``LONG`` words from the shingles' hashes in ``prints`` (row, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [majority(mixed_words(np.frombuffer(g.as_py(), "<u4").astype(np.uint64), LONG + 1)[1:]).tobytes() for g in batch.column("grams")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.binary())], names=["row", "long"])
+
+    return prints.select("row", "grams").mapInArrow(run, "row long, long binary")
+
+
 def similar(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
     """Those of the ``pairs`` (a, b; written) whose shingle sets are similar enough. Only the sets of rows that are in a
     pair move."""
@@ -444,15 +454,21 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     forest = planted(points, BLOCKS, 1, leaf_rows=leaf_rows, sample_rows=sample_rows)
     tasks = routed(points, forest, lambda w: [f"f{w}", f"f{(w + 1) % WORDS}"]).groupBy(*TASK)
     limits = bound.bits(64), bound.bits(128)
-    met = cut(tasks.applyInPandas(lambda pdf: _nearest(pdf, limits, neighbours), "a long, b long, more boolean"), "nearest")
-    pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest-pairs")
+    met = tasks.applyInPandas(lambda pdf: _nearest(pdf, limits, neighbours), "a long, b long, d long, more boolean")
+    # of each text the nearest of all its leaves: a few for each leaf
+    met = met.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("d", "b"))).alias("near"), F.bool_or("more").alias("more"))
+    met = cut(met.select("a", F.slice("near", 1, neighbours + 1).alias("near"), (F.col("more") | (F.size("near") > neighbours + 1)).alias("more")), "nearest")
+    pairs = met.select("a", F.explode("near.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(pairs, "nearest-pairs")
     found = cut(similar(pairs, prints, threshold), "near-links")
     # texts that had more candidates than they met: the others of theirs that are still in different groups
     crowded = cut(met.filter("more").select(F.col("a").alias("pid")).distinct(), "crowded")
     roots = components(found)
     left = restricted(points, crowded, "pid").join(roots, F.col("pid") == F.col("node"), "left").select("pid", *words, F.coalesce("root", "pid").alias("root"))
-    tasks = routed(cut(left, "crowded-points"), forest, lambda w: [*words, "root"]).groupBy(*TASK)
-    most = bound.bits(64 * WORDS)
+    sketches = longer(restricted(prints.select("row", "grams"), crowded.withColumnRenamed("pid", "row"), "row"))
+    left = cut(left.join(sketches, F.col("pid") == F.col("row")).drop("row"), "crowded-points")
+    most = bound.bits(64), bound.bits(64 * LONG)
+    tasks = routed(left, forest, lambda w: [f"f{w}", "root", "long"]).groupBy(*TASK)
     rest = cut(tasks.applyInPandas(lambda pdf: _across(pdf, most), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "other-pairs")
     edges = found.unionByName(similar(rest, prints, threshold))
     rows = prints.select("id", *words).join(points.select("pid", *words), words).select("id", "pid")
