@@ -113,16 +113,29 @@ def letter_sketch(line: Column) -> Column:
     return out
 
 
+#: Characters that are counted in the lines of a pair; which ones only matters for speed.
+PAIR_COUNTED = " abcdefghijklmnopqrstuvwxyz0123456789.,;:-"
+
+
+def letter_counts(line: Column) -> Column:
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in PAIR_COUNTED])
+
+
+def counts_allow(a: Column, b: Column, threshold: int) -> Column:
+    """Whether letter counts are such that ``threshold`` edits could do: each takes one character out or puts one in, or
+    both."""
+    lost = lambda x, y: F.aggregate(F.zip_with(x, y, lambda m, n: F.greatest(m - n, F.lit(0))), F.lit(0), lambda s, v: s + v)
+    return (lost(a, b) <= threshold) & (lost(b, a) <= threshold)
+
+
 def within_edits(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two strings are within ``threshold`` edits, by bits for the diagonals of the band. ``a`` and ``b`` are read
-    often: give them as columns."""
+    """Whether two strings are within ``threshold`` edits, by bits for the diagonals of the band."""
     k, width = threshold, 2 * threshold + 1
     band = (1 << width) - 1
-    left, right = F.split(a, ""), F.split(b, "")
     # bit k + o of level e: after i characters of a and i + o of b, with e edits at most
     start = sum((((1 << (e + 1)) - 1) << k & band) << (e * width) for e in range(k + 1))
 
-    def step(state: Column, x: Column) -> Column:
+    def step(state: Column, x: Column, right: Column) -> Column:
         same = F.lit(0).cast("long")
         for j in range(width):
             same = same.bitwiseOR(F.when(F.get(right, x["i"] + (j - k)) == x["c"], F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -141,19 +154,23 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
 
         return F.get(F.transform(F.array(same), moved), F.lit(0))
 
-    placed = F.transform(left, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    last = F.aggregate(placed, F.lit(start).cast("long"), step)
-    place = F.length(b) - F.length(a) + k
-    reached = F.lit(False)
-    for e in range(k + 1):
-        reached = reached | (F.shiftrightunsigned(last, e * width).bitwiseAND(F.lit(band)).bitwiseAND(F.expr("bigint(1)") * F.pow(F.lit(2.0), place).cast("long")) != 0)
-    return F.when(F.abs(F.length(a) - F.length(b)) > k, False).when((a == "") | (b == ""), True).otherwise(reached)
+    def walked(right: Column) -> Column:  # the characters of b, split once
+        placed = F.transform(F.split(a, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+        return F.aggregate(placed, F.lit(start).cast("long"), lambda state, x: step(state, x, right))
+
+    def ends(last: Column) -> Column:
+        place = F.pow(F.lit(2.0), F.length(b) - F.length(a) + k).cast("long")  # the diagonal of both ends
+        levels = [F.shiftrightunsigned(last, e * width).bitwiseAND(place) != 0 for e in range(k + 1)]
+        return F.exists(F.array(*levels), lambda x: x)
+
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.when(F.abs(F.length(a) - F.length(b)) > k, False).when((a == "") | (b == ""), True).otherwise(once(once(F.split(b, ""), walked), ends))
 
 
-def frequent_segments(rows: DataFrame, threshold: int, *, sample_rows: int = 200_000, least: int = 64, most: int = 2000) -> list[int]:
+def frequent_segments(rows: DataFrame, threshold: int, n: int | None = None, *, sample_rows: int = 200_000, least: int = 64, most: int = 2000) -> list[int]:
     """Hashes of the segments that at least ``least`` distinct lines of a sample of about ``sample_rows`` have, the most
     frequent ``most`` of them."""
-    n = rows.count()
+    n = rows.count() if n is None else n
     share = min(1.0, sample_rows / max(1, n))
     sample = rows.filter(F.pmod("ka", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("ka").agg(F.first("line").alias("line"))
     own, _ = signatures(F.col("line"), F.length("line"), threshold)
@@ -161,14 +178,14 @@ def frequent_segments(rows: DataFrame, threshold: int, *, sample_rows: int = 200
     return [r["sig"] for r in counts.orderBy(F.desc("n"), "sig").limit(most).collect()]
 
 
-def signed_lines(df: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str, **sampling) -> DataFrame:
-    """One row per distinct line that may link to another: ka, sketch, own, further."""
+def signed_lines(df: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str, n: int | None = None, **sampling) -> DataFrame:
+    """One row per distinct line that may link to another: ka, sketch, own, further. ``n``: how many lines there are about."""
     if not 1 <= threshold <= 4:
         raise ValueError("threshold must be from 1 to 4")
     if min_chars < 3 * (threshold + 1):
         raise ValueError("min_chars must be at least 3 x (threshold + 1)")
     rows = occurrences(df, id_col, text_col).filter(F.length("line") >= min_chars)
-    own, further = signatures(F.col("line"), F.length("line"), threshold, frequent_segments(rows, threshold, **sampling))
+    own, further = signatures(F.col("line"), F.length("line"), threshold, frequent_segments(rows, threshold, n, **sampling))
     rows = rows.select("ka", own.alias("own"), further.alias("further"), letter_sketch(F.col("line")).alias("sketch"))
     return rows.groupBy("ka").agg(F.first("own").alias("own"), F.first("further").alias("further"), F.first("sketch").alias("sketch"))  # equal lines are one
 
@@ -182,7 +199,7 @@ def line_pairs(lines: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def line_links(df: DataFrame, pairs: DataFrame, lines: DataFrame, threshold: int, id_col: str, text_col: str, *, max_rows: int = 1 << 19) -> DataFrame:
+def line_links(df: DataFrame, pairs: DataFrame, lines: DataFrame, threshold: int, id_col: str, text_col: str, *, max_rows: int = 1 << 19, pairs_per_task: int = 1000) -> DataFrame:
     """Those of the ``pairs`` that are within ``threshold`` edits, as numbers of ``lines``, which says where they are. Only
     the documents that hold the pairs' first occurrences are read for it; they are shuffled where those are more than
     ``max_rows``."""
@@ -195,8 +212,11 @@ def line_links(df: DataFrame, pairs: DataFrame, lines: DataFrame, threshold: int
     texts = texts.select(F.split("text", "\n").alias("all"), "lines").select(F.inline(F.transform("lines", lambda x: F.struct(x["num"].alias("num"), x["ka"].alias("ka"), x["kb"].alias("kb"), F.get("all", x["no"]).alias("line")))))
     ka, kb = line_key(F.col("line"))
     texts = cut(texts.filter((F.col("ka") == ka) & (F.col("kb") == kb)).groupBy("num", "ka").agg(F.first("line").alias("line")), "pair-lines")
-    left, right = (texts.select(F.col("ka").alias(p), F.col("num").alias(f"n{p}"), F.col("line").alias(f"l{p}")) for p in ("a", "b"))
-    near = pairs.join(left, "a").join(right, "b").filter(within_edits(F.col("la"), F.col("lb"), threshold))
+    texts = texts.withColumn("counts", letter_counts(F.col("line")))
+    left, right = (texts.select(F.col("ka").alias(p), F.col("num").alias(f"n{p}"), F.col("line").alias(f"l{p}"), F.col("counts").alias(f"c{p}")) for p in ("a", "b"))
+    met = pairs.join(left, "a").join(right, "b").filter(counts_allow(F.col("ca"), F.col("cb"), threshold)).select("na", "nb", "la", "lb")
+    met = met.repartition(max(1, -(-pairs.count() // pairs_per_task)))  # characters cost more than the rows' bytes tell
+    near = met.filter(within_edits(F.col("la"), F.col("lb"), threshold))
     return near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
 
@@ -204,7 +224,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, th
     """One row per distinct line: its key, the class's first occurrence (first), rows of the line, its links."""
     lines = occurrences(df, id_col, text_col).groupBy(*KEY).agg(F.min(F.struct("id", "no")).alias("at"), F.count(F.lit(1)).alias("n"))
     lines = cut(lines.withColumn("num", F.monotonically_increasing_id()), "lines")
-    pairs = cut(line_pairs(signed_lines(df, threshold, min_chars, id_col, text_col, **sampling), threshold), "line-pairs")
+    signed = signed_lines(df, threshold, min_chars, id_col, text_col, lines.count(), **sampling)
+    pairs = cut(line_pairs(signed, threshold), "line-pairs")
     links = cut(line_links(df, pairs, lines, threshold, id_col, text_col), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("num")).groupBy("num").agg(F.count(F.lit(1)).alias("links"))
     linked = degree.join(components(links).withColumnRenamed("node", "num"), "num", "left").select("num", "links", F.coalesce("root", "num").alias("root"))
