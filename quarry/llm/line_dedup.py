@@ -86,7 +86,7 @@ def signatures(line: Column, n: Column, threshold: int, frequent: list[int] | No
                 for j, move in probes:
                     at, long = _segment(left, j, threshold)
                     out.append(F.xxhash64(sig, F.lit(j), F.substr(rest, at + move, long)))
-                return F.array(*out)
+                return F.flatten(F.transform(F.array(F.lit(0)), lambda _: F.array(*out)))  # in a lambda, as it is rare and long
 
             every = _probes(threshold, shorter)
             if mine:
@@ -100,16 +100,17 @@ def signatures(line: Column, n: Column, threshold: int, frequent: list[int] | No
 
 
 #: Characters that are counted in a sketch; which ones only matters for speed.
-COUNTED = " etaoinsrhldcum."
+COUNTED = " etaoinsrhldcum.pgybfw,é"
 
 
 def letter_sketch(line: Column) -> Column:
-    """Two bits for each of 16 characters: the Gray code of its count modulo 4, in which counts that differ by one
+    """Two bits for each of 24 characters: the Gray code of its count modulo 4, in which counts that differ by one
     differ in one bit. An edit takes at most one character out and puts one in, so it flips at most two bits."""
-    out = F.lit(0)
+    out = F.lit(0).cast("long")
     for k, c in enumerate(COUNTED):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).bitwiseAND(F.lit(3)), 2 * k))
+        count = F.shiftright(count, 1) if len(c.encode()) > 1 else count  # two bytes each
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).bitwiseAND(F.lit(3)).cast("long"), 2 * k))
     return out
 
 
@@ -179,7 +180,8 @@ def frequent_segments(rows: DataFrame, threshold: int, n: int | None = None, *,
 
 
 def signed_lines(df: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str, n: int | None = None, **sampling) -> DataFrame:
-    """One row per distinct line that may link to another: ka, sketch, own, further. ``n``: how many lines there are about."""
+    """One row per distinct line that may link to another: ka, sketch and sigs, an array of the number of its own
+    segments' hashes, these, and its further probes. ``n``: how many lines there are about."""
     if not 1 <= threshold <= 4:
         raise ValueError("threshold must be from 1 to 4")
     if min_chars < 3 * (threshold + 1):
@@ -187,14 +189,23 @@ def signed_lines(df: DataFrame, threshold: int, min_chars: int, id_col: str, tex
     rows = occurrences(df, id_col, text_col).filter(F.length("line") >= min_chars)
     own, further = signatures(F.col("line"), F.length("line"), threshold, frequent_segments(rows, threshold, n, **sampling))
     rows = rows.select("ka", own.alias("own"), further.alias("further"), letter_sketch(F.col("line")).alias("sketch"))
-    return rows.groupBy("ka").agg(F.first("own").alias("own"), F.first("further").alias("further"), F.first("sketch").alias("sketch"))  # equal lines are one
+    rows = rows.select("ka", F.concat(F.array(F.size("own").cast("long")), "own", "further").alias("sigs"), "sketch")
+    return rows.groupBy("ka").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch"))  # equal lines are one
+
+
+def index_hashes() -> Column:
+    return F.slice("sigs", F.lit(2), F.get("sigs", F.lit(0)).cast("int"))
+
+
+def probe_hashes() -> Column:
+    return F.slice("sigs", F.lit(2), F.size("sigs"))
 
 
 def line_pairs(lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of ``ka`` of the signed ``lines`` that share a segment and whose sketches are as near as ``threshold``
     edits allow."""
-    index = lines.select(F.col("ka").alias("x"), F.col("sketch").alias("sx"), F.explode("own").alias("sig"))
-    probe = lines.select(F.col("ka").alias("y"), F.col("sketch").alias("sy"), F.explode(F.concat("own", "further")).alias("sig"))
+    index = lines.select(F.col("ka").alias("x"), F.col("sketch").alias("sx"), F.explode(index_hashes()).alias("sig"))
+    probe = lines.select(F.col("ka").alias("y"), F.col("sketch").alias("sy"), F.explode(probe_hashes()).alias("sig"))
     met = index.join(probe, (index["sig"] == probe["sig"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 2 * threshold))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
