@@ -18,6 +18,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ from quarry.llm.common import cut, text_or_empty
 
 #: Fixed value: how byte-level vocabularies of this family split a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: From this length on the fast encoder may run out of its stack (it does beyond 500,000 characters).
+LONG_RUN = re.compile(r"\s{20000}")
 PIECES = "id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,7 +41,8 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library.
 
     The file's vocabulary is loaded as merge ranks into ``tiktoken``, which gives the same ids several times faster
-    (the tests compare them). Texts that name a special token go to the ``tokenizers`` library itself.
+    (the tests compare them). Texts that name a special token, and those whose runs of white space are too long for the
+    fast one's regular expressions, go to the ``tokenizers`` library itself.
     """
 
     def __init__(self, path: str):
@@ -55,7 +59,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids, as little-endian unsigned 32-bit numbers."""
-        if any(x in text for x in self.special):
+        if any(x in text for x in self.special) or LONG_RUN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 

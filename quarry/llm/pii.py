@@ -40,7 +40,7 @@ def _iban_form() -> str:
 
 #: The written forms, in the order in which they are tried.
 FORMS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9][A-Za-z0-9.-]{2,252}",
     "iban": _iban_form(),
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])",
     "iso_date": r"(?<![0-9A-Za-z/.-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z])(?!-[0-9])",
@@ -49,6 +49,9 @@ FORMS = {
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: Fixed value: the start of a matched domain that is one. It only sees the at most 253 characters of a match, as
+#: repeated groups take Java's stack.
+DOMAIN = r"^(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}"
 KINDS = tuple(FORMS)
 PATTERN = "|".join(f"(?:{x})" for x in FORMS.values())
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -81,10 +84,11 @@ class Cipher:
     def __init__(self, key: str, reverse: bool = False):
         self.key, self.reverse = key, reverse
 
-    def _hash(self, kind: str, r: Column, other: Column) -> Column:
-        return F.sha2(F.concat_ws("|", F.lit(self.key), F.lit(kind), r.cast("string"), other.cast("string")), 256)
+    def _hash(self, kind: str | Column, r: Column, other: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.sha2(F.concat_ws("|", F.lit(self.key), kind, r.cast("string"), other.cast("string")), 256)
 
-    def numbers(self, kind: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
+    def numbers(self, kind: str | Column, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
         """A permutation of pairs below the two sizes, as a struct (l, r)."""
 
         def step(s: Column, r: Column) -> Column:
@@ -106,7 +110,17 @@ class Cipher:
         moved = self.numbers(kind, F.substr(d, F.lit(1), half), F.substr(d, half + 1, n - half), size(half), size(n - half))
         return let(moved, lambda out: F.concat(F.lpad(out["l"].cast("string"), half, F.lit("0")), F.lpad(out["r"].cast("string"), n - half, F.lit("0"))))
 
-    def letters(self, kind: str, text: Column) -> Column:
+    def letter(self, kind: str | Column, c: Column) -> Column:
+        """A permutation of the small letters, the capitals and the digits; other characters stay."""
+
+        def turned(alphabet: str) -> Column:
+            place, half = F.instr(F.lit(alphabet), c) - 1, len(alphabet) // 2
+            moved = self.numbers(kind, F.floor(place / 2), place % 2, F.lit(half), F.lit(2))
+            return let(moved, lambda out: _at(F.lit(alphabet), (out["l"] * 2 + out["r"] + 1).cast("int")))
+
+        return F.when(c.rlike("[a-z]"), turned(LOWER)).when(c.rlike("[A-Z]"), turned(UPPER)).when(c.rlike("[0-9]"), turned(DIGITS)).otherwise(c)
+
+    def letters(self, kind: str | Column, text: Column) -> Column:
         """A permutation of strings that keeps each character's class: small letter, capital, digit; others stay."""
 
         def shifted(mine: Column, h: Column) -> Column:
@@ -130,7 +144,8 @@ class Cipher:
 
         half = F.floor(F.length(text) / 2).cast("int")
         start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text) - half).alias("r"))
-        return F.aggregate(_rounds(self.reverse), start, step, lambda out: F.concat(out["l"], out["r"]))
+        longer = F.aggregate(_rounds(self.reverse), start, step, lambda out: F.concat(out["l"], out["r"]))
+        return F.when(F.length(text) == 1, self.letter(kind, text)).otherwise(longer)  # one character has no halves
 
     def date(self, kind: str, year: Column, month: Column, day: Column) -> Column:
         """Another day of the same century: 1900 to 1999 has 92 x 397 days, 2000 to 2099 has 75 x 487."""
@@ -179,8 +194,15 @@ def found(kind: str, value: Column) -> Column:
 
 
 def _email(m: Column, cipher: Cipher) -> Column:
+    """The local part is moved, with the domain as a tweak. What was matched behind the domain stays."""
     local = F.substring_index(m, "@", 1)
-    return F.concat(let(local, lambda x: cipher.letters("email", x)), F.substr(m, F.length(local) + 1, F.length(m)))
+
+    def moved(rest: Column) -> Column:
+        domain = F.regexp_extract(rest, DOMAIN, 0)
+        kind = F.concat(F.lit("email|"), F.lower(domain))
+        return F.when(domain != "", found("email", F.concat(let(local, lambda x: let(kind, lambda k: cipher.letters(k, x))), F.lit("@"), rest)))
+
+    return let(F.substr(m, F.length(local) + 2, F.length(m)), moved)
 
 
 def _iban(m: Column, cipher: Cipher) -> Column:
@@ -283,7 +305,7 @@ def pseudonym(m: Column, cipher: Cipher) -> Column:
     def of(d: Column) -> Column:
         part = lambda at, n: F.substring(d, at, n)
         return (
-            F.when(F.instr(m, "@") > 0, found("email", _email(m, cipher)))
+            F.when(F.instr(m, "@") > 0, _email(m, cipher))
             .when(shaped("iban"), _iban(m, cipher))
             .when(shaped("ip"), _ip(m, cipher))
             .when(shaped("iso_date"), _date("iso_date", m, cipher, part(1, 4), part(5, 2), part(7, 2), "yyyyMMdd"))
@@ -296,8 +318,8 @@ def pseudonym(m: Column, cipher: Cipher) -> Column:
     return let(_digits(m), of)
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", *, key: str = "quarry", reverse: bool = False, found_col: str = "found") -> DataFrame:
-    """``df`` with the text rewritten and ``found_col``, the kinds that were replaced, in order of their places."""
+def pseudonymise(df: DataFrame, text_col: str = "text", *, key: str, reverse: bool = False, found_col: str = "found") -> DataFrame:
+    """Under a secret ``key``, ``df`` with the text rewritten and ``found_col``, the kinds that were replaced, in order of their places."""
     cipher = Cipher(key, reverse)
     text = F.col(text_col)
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))

@@ -325,6 +325,29 @@ def test_pseudonyms(spark):
     assert other != got[1]["text"]
 
 
+def test_pseudonyms_of_short_and_long_mail_addresses(spark):
+    texts = ["me@" + "a." * 100_000, "x@y.org2 a@b.com-foo q@-b.com w@b..com", *[f"{c}@{d}.org" for d in ("one", "two") for c in "abcdefghijklmnopqrstuvwxyz"], " " * 1_000_000 + "a@b.org", "@" * 50_000]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    assert out[0]["text"] == texts[0] and out[0]["found"] == [] and out[55]["text"] == texts[55]
+    assert out[1]["found"] == ["email", "email"] and out[1]["text"][1:8] == "@y.org2" and out[1]["text"].endswith("@b.com-foo q@-b.com w@b..com")
+    one, two = ([out[i]["text"][0] for i in range(k, k + 26)] for k in (2, 28))
+    assert sorted(one) == sorted(two) == sorted("abcdefghijklmnopqrstuvwxyz") and one != two
+    assert len({(ord(b) - ord(a)) % 26 for a, b in zip("abcdefghijklmnopqrstuvwxyz", one, strict=True)}) > 2  # no mere shift
+    assert out[54]["found"] == ["email"]
+    with pytest.raises(TypeError):
+        pii.pseudonymise(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+
+
+def test_runs_of_white_space(spark, vocabulary):
+    run = " \t\n\r" * 250_000
+    df = spark.createDataFrame([(1, f"a{run}b", "en", "s", 0), (2, run, "en", "s", 0)], DOCS)
+    assert {r["id"]: r["size"] for r in mixing.mix(df).collect()} == {1: 2, 2: 0}
+    assert {r["doc_id"]: (r["n_words"], r["word_chars"]) for r in quality.verdict(df).collect()} == {1: (2, 2), 2: (0, 0)}
+    encode = packing.Encoder(vocabulary)
+    assert np.frombuffer(encode(" " * 1_000_000 + "a"), "<u4").tolist() == encode.tokenizer.encode(" " * 1_000_000 + "a", add_special_tokens=False).ids
+    assert simhash.fingerprint(f"a{run}b".encode()) == simhash.fingerprint(b"a b")
+
+
 def test_pseudonyms_are_permutations(spark):
     df = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     cipher = pii.Cipher("k")
@@ -552,8 +575,8 @@ def test_lines_of_one_beginning_do_not_all_meet(spark):
     lines += [x[:50] + "ZZ" + x[52:] for x in lines[:40]] + [x[:70] + "Q" + x[70:] for x in lines[40:60]]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     signed = line_dedup.signed_lines(df, 2, 20, "doc_id", "text").cache()
-    index = signed.select(F.explode("own").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    probe = signed.select(F.explode(F.concat("own", "further")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    index = signed.select(F.explode(line_dedup.index_hashes()).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    probe = signed.select(F.explode(line_dedup.probe_hashes()).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
     assert index.join(probe, "sig").agg(F.sum(F.col("n") * F.col("m"))).first()[0] < 200_000  # of 36 million
     assert {r["id"] for r in line_dedup.mark(df).filter("n_dropped > 0").collect()} == set(range(6000, 6060))
 
@@ -567,13 +590,13 @@ def test_clashing_columns(clashing, docs, vocabulary):
     assert simhash.drop_near_copies(clashing).count() == simhash.drop_near_copies(docs).count()
     assert line_dedup.drop_lines(clashing).columns == clashing.columns
     assert sharding.shard(clashing, 3).count() == langid.identify(clashing, {}).count() == docs.count()
-    assert pii.pseudonymise(clashing).count() == docs.count()
+    assert pii.pseudonymise(clashing, key="k").count() == docs.count()
     assert packing.pieces(clashing, vocabulary).count() == packing.pieces(docs, vocabulary).count()
 
 
 def test_empty_tables(docs):
     none = docs.limit(0)
-    counts = [exact_dedup.assign(none), exact_dedup.drop_copies(none), quality.verdict(none), mixing.mix(none), mixing.mixed(none), simhash.near_copies(none), simhash.drop_near_copies(none), line_dedup.mark(none), line_dedup.drop_lines(none), sharding.shard(none, 4), pii.pseudonymise(none), langid.identify(none, langid.prototypes(none))]
+    counts = [exact_dedup.assign(none), exact_dedup.drop_copies(none), quality.verdict(none), mixing.mix(none), mixing.mixed(none), simhash.near_copies(none), simhash.drop_near_copies(none), line_dedup.mark(none), line_dedup.drop_lines(none), sharding.shard(none, 4), pii.pseudonymise(none, key="k"), langid.identify(none, langid.prototypes(none))]
     assert [x.count() for x in counts] == [0] * len(counts)
 
 
