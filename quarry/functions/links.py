@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The host, and what an owner or repository may be called.
+#: Fixed value: the host.
 HOST = "github.com"
+#: Fixed value: what an owner or repository may be called.
 SEGMENT = r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,99}\z"
-WHITE = r"[\s\x1C-\x1F\x85  -     　]"
+#: Fixed value: white space as it is stripped.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def parsed_url(raw: Column) -> Column:

@@ -48,10 +48,10 @@ def sql_in(values) -> str:
 
 
 DIRS = ["src", "src/vendor", "node_modules/dep", "docs", "a", "a-b", "target/debug", "lib/build"]
-NAMES = (
-    "app.py index.ts main.go lib.rs Query.java styles.css data.json config.yaml README.md Dockerfile Makefile .gitignore .env .env.example server.pem "
-    "ID.KEY id_rsa.pub package-lock.json Cargo.lock app.min.js bundle.js.map LICENSE Dockerfile.dev mystery.xyz noextension APP.PY credentials build"
-).split()
+NAMES = [
+    "solver.jl", "panel.vue", "kernel.c", "grid.hpp", "Ledger.SCALA", "notes.rst", "schema.proto", "deploy.tf", "query.sql", "Gemfile", "CMakeLists.txt", ".editorconfig", ".npmrc", "store.p12",
+    "CERT.DER", "id_dsa.bak", "npm-shrinkwrap.json", "uv.lock", "theme.min.css", "vendor.js.map", "COPYING.txt", "Dockerfile.build", "picture.webp", "plainname", "credentials", "obj", ".gitignore", "x.lock.hcl",
+]
 
 
 # ---- files: documents as files of the repository named by their source
@@ -76,10 +76,9 @@ CORPUS_SQL = f"""c AS (
   SELECT doc_id, source AS repository_id, {sql_list(DIRS)}[doc_id % {len(DIRS)} + 1] || '/' || doc_id || '/' || {sql_list(NAMES)}[doc_id % {len(NAMES)} + 1] AS path,
          {sql_list(NAMES)}[doc_id % {len(NAMES)} + 1] AS name, strlen(text) + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS size_bytes, text
   FROM documents)"""
-_EXT = {e: language for language, es in paths.EXTENSIONS.items() for e in es.split()}
 _LANGUAGE = (
     "CASE " + " ".join(f"WHEN name = '{n}' THEN '{v}'" for n, v in paths.NAMES.items()) + " "
-    + " ".join(f"WHEN lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) = '{e}' THEN '{v}'" for e, v in _EXT.items()) + " END"
+    + " ".join(f"WHEN lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) = '{e}' THEN '{v}'" for e, v in paths.EXTENSIONS.items()) + " END"
 )
 _ends = lambda c, xs: "(" + " OR ".join(f"ends_with({c}, '{x}')" for x in xs) + ")"
 _starts = lambda c, xs: "(" + " OR ".join(f"starts_with({c}, '{x}')" for x in xs) + ")"
@@ -413,7 +412,7 @@ def file_listing(spark, sf_dir):
     """Files by path within their repository, with the place in that order (from ranges of the sort, not one task)."""
     ordered = tables.listed(files(spark, sf_dir).select("id", "repository_id", "path"), ["path"], within=["repository_id"])
     numbered = ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    numbered = numbered.persist()
+    numbered = cut(numbered, "listed")
     sizes = {r["part"]: r["n"] for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, 0
     for part in sorted(sizes):

@@ -9,11 +9,11 @@ from quarry.plans import index
 from quarry.sources import corpus as sources
 from quarry.streaming import jobs as streams
 
-FIXTURE = {
-    "src/app.py": b"def hello():\n    return 1\n", "src/index.ts": b"export const x = 1;\n", "README.md": b"# Fixture\n", "LICENSE": b"MIT\n", "Dockerfile": b"FROM python:3.12\n", ".env": b"SECRET=real\n",
-    ".env.example": b"SECRET=example\n", "package-lock.json": b'{"lockfileVersion":3}\n', "node_modules/dep/index.js": b"junk\n", "src/logo.png": b"PNG\x00\x00binary", "mystery.xyz": b"unknown\n",
+FILES = {
+    "lib/solver.jl": b"f(x) = 2x\n", "lib/panel.vue": b"<template/>\n", "notes/start.rst": b"Notes\n=====\n", "COPYING.txt": b"free\n", "Gemfile": b"source :here\n", "lib/.npmrc": b"token=1\n",
+    "lib/store.p12": b"0", "web/yarn.lock": b"x\n", "lib/obj/made.c": b"int x;\n", "web/site.min.js": b"x", "web/photo.tiff": b"II\x00", "ledger.qqq": b"1\n", "lib/__init__.py": b"",
 }
-KEPT = {"src/app.py", "src/index.ts", "README.md", "LICENSE", "Dockerfile", ".env.example"}
+KEPT = {"lib/solver.jl", "lib/panel.vue", "notes/start.rst", "COPYING.txt", "Gemfile", "lib/__init__.py"}
 
 
 def corpus(spark, files, repository="r"):
@@ -24,23 +24,21 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_fixture_corpus(spark):
-    gated = discover.gated(corpus(spark, FIXTURE))
+def test_gates(spark):
+    gated = discover.gated(corpus(spark, FILES))
     assert {r["path"] for r in gated.filter("keep").collect()} == KEPT
-    assert rows(discover.skip_report(gated), "reason", "files") == [("excluded_dir", 1), ("lockfile", 1), ("secret", 1), ("unsupported_type", 2)]
+    assert rows(discover.skip_report(gated), "reason", "files") == [("excluded_dir", 1), ("generated", 1), ("lockfile", 1), ("secret", 2), ("unsupported_type", 2)]
     binary = discover.gated(corpus(spark, {"a.py": b"x\x00", "b.py": b"x" * 50, "c.py": b""}), max_bytes=20)
-    assert rows(binary, "path", "reason") == [("a.py", "binary"), ("b.py", "too_large"), ("c.py", None)] or {(r["path"], r["reason"]) for r in binary.collect()} == {("a.py", "binary"), ("b.py", "too_large"), ("c.py", None)}
+    assert {(r["path"], r["reason"]) for r in binary.collect()} == {("a.py", "binary"), ("b.py", "too_large"), ("c.py", None)}
 
 
 def test_directory_source(spark, tmp_path):
-    for p, c in FIXTURE.items():
+    for p, c in FILES.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(c)
-    (tmp_path / "_priv").mkdir()
-    (tmp_path / "_priv/__init__.py").write_bytes(b"")
-    (tmp_path / "link.py").symlink_to(tmp_path / "src/app.py")
+    (tmp_path / "link.jl").symlink_to(tmp_path / "lib/solver.jl")
     got = {r["path"]: bytes(r["content"]) for r in sources.read_tree(spark, "r", str(tmp_path)).collect()}
-    assert got == FIXTURE | {"_priv/__init__.py": b""}
+    assert got == FILES
 
 
 def test_limits(spark):
@@ -53,11 +51,11 @@ def test_limits(spark):
 
 
 def test_index_and_update_equal_a_rebuild(spark):
-    first = {"auth.py": b"".join(b"def fn_%d(): return %d\n" % (i, i) for i in range(60)), "README.md": b"a\nb\nc\n", "gone.py": b"x\n", "empty.py": b""}
-    second = {k: v for k, v in first.items() if k != "gone.py"} | {"README.md": b"a\nb\nd\n", "new.py": b"y\n"}
+    first = {"steps.jl": b"".join(b"step(%d) = %d\n" % (i, 2 * i) for i in range(65)), "notes.rst": b"a\nb\nc\nd\n", "gone.jl": b"x\n", "empty.jl": b""}
+    second = {k: v for k, v in first.items() if k != "gone.jl"} | {"notes.rst": b"a\nb\ne\nd\n", "new.jl": b"y\n"}
     p = embed.HashProvider(16)
     old = index.build(corpus(spark, first), p)
-    assert rows(old.chunks.join(old.files.select(F.col("id").alias("file_id"), "path"), "file_id"), "path", "start_line", "end_line") == [("README.md", 1, 3), ("auth.py", 1, 40), ("auth.py", 31, 60), ("gone.py", 1, 1)]
+    assert rows(old.chunks.join(old.files.select(F.col("id").alias("file_id"), "path"), "file_id"), "path", "start_line", "end_line") == [("gone.jl", 1, 1), ("notes.rst", 1, 4), ("steps.jl", 1, 40), ("steps.jl", 31, 65)]
     scanned = spark.createDataFrame([("r",)], "repository_id string")
     new, again = index.update(old, corpus(spark, second), scanned, p), index.build(corpus(spark, second), p)
     for a, b, columns in ((new.files, again.files, ["id", "path", "language", "checksum_sha256"]), (new.chunks, again.chunks, ["id", "file_id", "content"]), (new.embeddings, again.embeddings, ["chunk_id", "embedding"])):
@@ -67,7 +65,7 @@ def test_index_and_update_equal_a_rebuild(spark):
 
 
 def test_search(spark):
-    contents = ["def login(user): ...", "def logout(user): ...", "class Parser: ..."]
+    contents = ["open(door) = 1", "close(door) = 0", "struct Window end"]
     chunks = spark.createDataFrame([(f"c{i}", "r", t) for i, t in enumerate(contents)], "id string, repository_id string, content string")
     vectors = embed.embed(chunks, embed.HashProvider(64))
     query = vectors.filter("chunk_id = 'c0'").first()["embedding"]
