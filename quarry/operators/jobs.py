@@ -80,10 +80,13 @@ def latest_event(events: DataFrame, by: str = "repository_id", at: str = "create
 
 
 def payload(event_type: str, **columns: Column) -> Column:
-    """The JSON payload of an event; its error text is cut."""
-    fields = [(F.substring(c, 1, EVENT_ERROR_CHARS) if k == "error" else c).alias(k) for k, c in columns.items()]
+    """The JSON payload of an event, with the keys of its type; its error text is cut."""
     if event_type not in S.EVENT_TYPES:
         raise ValueError(f"unknown event type: {event_type}")
+    keys = S.EVENT_KEYS[event_type]
+    if set(columns) != set(keys):
+        raise ValueError(f"the payload of {event_type} has the keys {', '.join(keys)}")
+    fields = [(F.substring(columns[k], 1, EVENT_ERROR_CHARS) if k == "error" else columns[k]).alias(k) for k in keys]
     return F.to_json(F.struct(*fields))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import links
@@ -18,12 +18,12 @@ def parsed(df: DataFrame, url: str = "url") -> DataFrame:
 def registered(requests: DataFrame, repositories: DataFrame, order: str = "request_id") -> DataFrame:
     """``requests`` (request_id, owner_id, url) with ``result``: invalid, conflict or created. Of equal requests the
     first is created; the same repository under another owner is no conflict."""
-    rows = parsed(requests).withColumn("_ok", F.col("reason").isNull())
+    rows = parsed(requests)
     there = repositories.select(*KEY).distinct().withColumn("_there", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("_ok", *KEY).orderBy(order))
-    rows = rows.withColumn("_nth", first).join(there, KEY, "left")
-    result = F.when(~F.col("_ok"), "invalid").when(F.col("_there") | (F.col("_nth") > 1), "conflict").otherwise("created")
-    return rows.withColumn("result", result).drop("_ok", "_nth", "_there")
+    first = rows.filter("reason IS NULL").groupBy(*KEY).agg(F.min(order).alias("_first"))  # combined before the shuffle
+    rows = rows.join(first, KEY, "left").join(there, KEY, "left")
+    result = F.when(F.col("reason").isNotNull(), "invalid").when(F.col("_there") | (F.col(order) > F.col("_first")), "conflict").otherwise("created")
+    return rows.withColumn("result", result).drop("_first", "_there")
 
 
 def same_email(users: DataFrame, emails: DataFrame) -> DataFrame:

@@ -30,9 +30,10 @@ def build(corpus: DataFrame, provider: embed.Provider, *, window: int = S.WINDOW
     return Index(files, chunks, embed.embed(chunks, provider))
 
 
-def update(old: Index, corpus: DataFrame, scanned: DataFrame, provider: embed.Provider, **options) -> Index:
+def update(old: Index, corpus: DataFrame, scanned: DataFrame, provider: embed.Provider, *, complete: DataFrame | None = None, **options) -> Index:
     """The tables after a new scan of the ``scanned`` repositories. Only added and changed files are chunked and
-    embedded; the result equals a full rebuild."""
+    embedded; the result equals a full rebuild. Where only a part of a scan is there, ``complete`` (repository_id) names
+    the repositories whose scan is whole: the others keep the files that are not in ``corpus``."""
     limits = {k: v for k, v in options.items() if k.startswith("max_")}
     windows = {k: v for k, v in options.items() if k in ("window", "overlap")}
     sized = discover.sized(discover.classified(corpus), limits.get("max_file_bytes", S.MAX_FILE_BYTES))
@@ -44,7 +45,7 @@ def update(old: Index, corpus: DataFrame, scanned: DataFrame, provider: embed.Pr
     changes = tables.file_changes(mine, new)
     fresh = changes.filter(F.col("change").isin("added", "changed")).select("repository_id", "path")
     files = tables.upsert_files(old.files, new.withColumn("created_at", F.lit(None).cast("timestamp")).select(*old.files.columns) if "created_at" in old.files.columns else new.select(*old.files.columns))
-    files = tables.prune_files(files, within, new)
+    files = tables.prune_files(files, within if complete is None else within.join(complete.select("repository_id"), "repository_id", "left_semi"), new)
     changed = files.join(fresh, ["repository_id", "path"], "left_semi")
     chunks = cut(chunk.file_chunks(changed, kept, **windows), "new-chunks")
     kept_chunks = tables.prune_chunks(old.chunks, within, files)

@@ -92,7 +92,9 @@ r AS (
     WHEN {_ends('name', paths.GENERATED_SUFFIXES)} THEN 'generated'
     WHEN lang IS NULL AND NOT (name IN {sql_in(paths.ALLOWED_NAMES)} OR {_starts('name', paths.ALLOWED_PREFIXES)}) THEN 'unsupported_type' END AS reason
   FROM known)"""
-SIZED_SQL = CLASS_SQL + ", s AS (SELECT *, coalesce(reason, CASE WHEN size_bytes > 4000 THEN 'too_large' END) AS why FROM r)"
+SIZED_SQL = CLASS_SQL + ", s AS (SELECT *, coalesce(reason, CASE WHEN size_bytes > 1048576 THEN 'too_large' END) AS why FROM r)"
+#: Where the limit is the feature, it is one that the tables meet.
+SMALL_SQL = SIZED_SQL.replace("1048576", "4000")
 MAX = {"max_bytes": 4000}
 LIMITS = {"max_files": 12, "max_bytes": 20000}
 
@@ -104,15 +106,15 @@ def classify_paths(spark, sf_dir):
 
 @query(SIZED_SQL + ", b AS (SELECT *, coalesce(why, CASE WHEN doc_id % 17 = 0 THEN 'binary' END) AS reason2 FROM s) SELECT repository_id, reason2 AS reason, count(*) AS files FROM b WHERE reason2 IS NOT NULL GROUP BY ALL")
 def skip_report(spark, sf_dir):
-    return discover.skip_report(discover.gated(corpus(spark, sf_dir), **MAX))
+    return discover.skip_report(discover.gated(corpus(spark, sf_dir)))
 
 
-@query(SIZED_SQL + " SELECT repository_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, count(*) <= 12 AND sum(size_bytes) <= 20000 AS within FROM s WHERE why IS NULL GROUP BY 1")
+@query(SMALL_SQL + " SELECT repository_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, count(*) <= 12 AND sum(size_bytes) <= 20000 AS within FROM s WHERE why IS NULL GROUP BY 1")
 def repo_limits(spark, sf_dir):
     return discover.repository_limits(discover.sized(discover.classified(corpus(spark, sf_dir).drop("content")), **MAX), **LIMITS)
 
 
-@query(SIZED_SQL + """, w AS (
+@query(SMALL_SQL + """, w AS (
   SELECT repository_id, path, row_number() OVER o AS nth, (sum(size_bytes) OVER o)::BIGINT AS running_bytes FROM s WHERE why IS NULL
   WINDOW o AS (PARTITION BY repository_id ORDER BY string_split(path, '/') ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, CASE WHEN nth > 12 THEN 'files' WHEN running_bytes > 20000 THEN 'bytes' END AS broken FROM w)
@@ -123,7 +125,7 @@ def limit_breaker(spark, sf_dir):
 
 @query(SIZED_SQL + " SELECT sha256(repository_id || chr(10) || path) AS id, repository_id, path, lang AS language, size_bytes, sha256(text) AS checksum_sha256 FROM s WHERE why IS NULL AND doc_id % 17 <> 0")
 def file_inventory(spark, sf_dir):
-    return discover.inventory(discover.gated(corpus(spark, sf_dir), **MAX).filter("keep"))
+    return discover.inventory(discover.gated(corpus(spark, sf_dir)).filter("keep"))
 
 
 # ---- chunks
@@ -583,17 +585,34 @@ def stream_leases(spark, sf_dir):
 # ---- whole workloads
 
 def indexed_sql(files_cte: str) -> str:
+    chunks = chunk_sql(8, 2).removeprefix("WITH ").replace("FROM documents WHERE text <> ''", "FROM f WHERE text <> ''").replace("'d/' || doc_id AS path", "path")
     return f"""{SIZED_SQL}, {files_cte},
-{chunk_sql(8, 2).removeprefix('WITH ').replace("FROM documents WHERE text <> ''", "FROM f WHERE text <> ''")}
-SELECT repository_id, count(DISTINCT f.doc_id) AS files, count(k.doc_id) AS chunks, count(k.doc_id) AS vectors, count(k.doc_id) > 0 AS searchable FROM f LEFT JOIN k USING (doc_id) GROUP BY 1"""
+{chunks},
+g AS (
+  SELECT doc_id, ('0x' || substr(sha256(path || chr(10) || start_line || chr(10) || end_line || chr(10) || content), 1, 8))::BIGINT AS chunk,
+         [('0x' || substr(sha256('0:' || content), (4 * j + 1)::BIGINT, 4))::INT for j in range(16)] AS c FROM k)
+SELECT repository_id, count(DISTINCT f.doc_id) AS files, count(g.doc_id) AS chunks, count(g.doc_id) AS vectors, count(g.doc_id) > 0 AS searchable,
+       coalesce(sum(chunk), 0)::BIGINT AS chunk_digest, coalesce(sum(list_position(c, list_max(c))), 0)::BIGINT AS vector_digest FROM f LEFT JOIN g USING (doc_id) GROUP BY 1"""
 
 
-@query(indexed_sql("""g AS (SELECT repository_id FROM s WHERE why IS NULL GROUP BY 1 HAVING count(*) <= 600 AND sum(size_bytes) <= 10000000),
-f AS (SELECT s.* FROM s JOIN g USING (repository_id) WHERE why IS NULL AND doc_id % 17 <> 0)"""))
+def digested(made: index.Index) -> DataFrame:
+    """Counts of each repository, and sums over its chunks' checksums and over the place of each vector's largest
+    component."""
+    chunk_sum = F.sum(F.conv(F.substring("content_sha256", 1, 8), 16, 10).cast("long"))
+    chunks = made.chunks.groupBy("repository_id").agg(chunk_sum.alias("chunk_digest"))
+    found = made.embeddings.groupBy("repository_id").agg(F.sum(F.array_position("embedding", F.array_max("embedding"))).alias("vector_digest"))
+    out = tables.counts(made.files, made.chunks, made.embeddings).join(chunks, "repository_id", "left").join(found, "repository_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("chunk_digest", "vector_digest")})
+
+
+#: The size of a file is limited as by default; a repository may have any, as the sources of large tables do.
+ANY_REPOSITORY = {"window": 8, "overlap": 2, "max_files": 1 << 40, "max_bytes": 1 << 60}
+
+
+@query(indexed_sql("f AS (SELECT * FROM s WHERE why IS NULL AND doc_id % 17 <> 0)"))
 def index_corpus(spark, sf_dir):
-    """Discover, chunk and embed the corpus, then count what each repository has."""
-    made = index.build(corpus(spark, sf_dir).drop("doc_id"), embed.HashProvider(16), window=8, overlap=2, max_file_bytes=4000, max_files=600, max_bytes=10_000_000)
-    return tables.counts(made.files, made.chunks, made.embeddings)
+    """Discover, chunk and embed the corpus, and sum up what each repository has."""
+    return digested(index.build(corpus(spark, sf_dir).drop("doc_id"), embed.HashProvider(16), **ANY_REPOSITORY))
 
 
 @query(indexed_sql("f AS (SELECT * FROM s WHERE why IS NULL AND doc_id % 17 <> 0 AND doc_id % 7 <> 0)"))
@@ -601,12 +620,10 @@ def incremental_index(spark, sf_dir):
     """A second scan, in which some files are new and some are gone, merged into the tables of the first: the result
     is that of indexing the second scan alone."""
     rows = corpus(spark, sf_dir)
-    options = {"window": 8, "overlap": 2, "max_file_bytes": 4000, "max_files": 1 << 30, "max_bytes": 1 << 60}
-    first = index.build(rows.filter("doc_id % 5 != 0").drop("doc_id"), embed.HashProvider(16), **options)
+    first = index.build(rows.filter("doc_id % 5 != 0").drop("doc_id"), embed.HashProvider(16), **ANY_REPOSITORY)
     first = index.Index(*[cut(x, "index") for x in (first.files, first.chunks, first.embeddings)])
     second = rows.filter("doc_id % 7 != 0").drop("doc_id")
-    made = index.update(first, second, rows.select("repository_id").distinct(), embed.HashProvider(16), **options)
-    return tables.counts(made.files, made.chunks, made.embeddings)
+    return digested(index.update(first, second, rows.select("repository_id").distinct(), embed.HashProvider(16), **ANY_REPOSITORY))
 
 
 def search_a_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,15 @@ REPOSITORY_STATUSES = ("failed", "indexed", "indexing", "pending")
 JOB_STATUSES = ("failed", "queued", "running", "succeeded")
 ACTIVE_STATUSES = ("queued", "running")
 EVENT_TYPES = ("index_completed", "index_failed", "index_queued", "index_skipped_unchanged", "index_started", "repository_created")
+#: The keys of an event type's payload.
+EVENT_KEYS = {
+    "repository_created": ("slug",),
+    "index_queued": ("job_id",),
+    "index_started": ("job_id",),
+    "index_skipped_unchanged": ("job_id", "commit_sha"),
+    "index_completed": ("job_id", "commit_sha", "files", "chunks"),
+    "index_failed": ("job_id", "status", "error"),
+}
 
 #: Defaults that are part of the results.
 MAX_REPOSITORY_BYTES, MAX_REPOSITORY_FILES, MAX_FILE_BYTES = 200 * 1024 * 1024, 5000, 1024 * 1024

@@ -15,11 +15,13 @@ TERMINAL = ("failed", "succeeded")
 
 def index_stream(spark: SparkSession, source: str, checkpoint: str, load: Callable[[], index.Index], store: Callable[[index.Index], None], provider, **options):
     """Start a stream that merges each batch of corpus files into the tables. ``load`` and ``store`` read and write the
-    tables. All writes replace rows by key, so a batch that is replayed changes nothing."""
+    tables. All writes replace rows by key, so a batch that is replayed changes nothing. A row without a path marks that
+    the batch holds the whole scan of its repository; only then do files that are not in it go."""
 
     def merge(batch: DataFrame, _: int) -> None:
         scanned = batch.select("repository_id").distinct()
-        store(index.update(load(), batch, scanned, provider, **options))
+        complete = batch.filter("path IS NULL").select("repository_id").distinct()
+        store(index.update(load(), batch.filter("path IS NOT NULL"), scanned, provider, complete=complete, **options))
 
     stream = spark.readStream.schema(S.CORPUS).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

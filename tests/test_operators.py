@@ -192,6 +192,37 @@ def test_index_stream_equals_the_batch(spark, tmp_path):
     assert rows(state["index"].chunks, "id", "content") == rows(batch.chunks, "id", "content")
 
 
+def test_partial_scans_do_not_prune(spark, tmp_path):
+    """A repository that comes in two batches keeps the files of the first; a marked batch prunes."""
+    p, state = embed.HashProvider(8), {"index": index.build(corpus(spark, {}), embed.HashProvider(8))}
+
+    def store(made):
+        state["index"] = index.Index(*[spark.createDataFrame(x.collect(), x.schema) for x in (made.files, made.chunks, made.embeddings)])
+
+    def run(files, marked):
+        batch = corpus(spark, files)
+        if marked:
+            batch = batch.unionByName(spark.createDataFrame([("r", None, None, None)], S.CORPUS))
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.index_stream(spark, str(tmp_path / "in"), str(tmp_path / "check"), lambda: state["index"], store, p).awaitTermination()
+        return [x for (x,) in rows(state["index"].files, "path")]
+
+    assert run({"a.jl": b"1\n", "b.jl": b"2\n"}, False) == ["a.jl", "b.jl"]
+    assert run({"c.jl": b"3\n"}, False) == ["a.jl", "b.jl", "c.jl"]
+    assert run({"b.jl": b"4\n"}, True) == ["b.jl"]
+    assert state["index"].chunks.count() == state["index"].embeddings.count() == 1
+
+
+def test_payloads_have_the_keys_of_their_type(spark):
+    for kind, keys in S.EVENT_KEYS.items():
+        made = spark.range(1).select(jobs.payload(kind, **{k: F.lit("x") for k in reversed(keys)})).first()[0]
+        assert list(json.loads(made)) == list(keys)
+        with pytest.raises(ValueError):
+            jobs.payload(kind, **{k: F.lit("x") for k in keys}, other=F.lit("x"))
+        with pytest.raises(ValueError):
+            jobs.payload(kind)
+
+
 def test_silent_workers_as_a_stream(spark, tmp_path):
     beats = [("j1", "2024-01-01 00:00:00", "running"), ("j1", "2024-01-01 00:00:30", "running"), ("j2", "2024-01-01 00:00:00", "running"), ("j2", "2024-01-01 00:00:20", "succeeded"), ("z", "2024-01-02 00:00:00", "running")]
     df = spark.createDataFrame(beats, "job_id string, ts string, state string").withColumn("ts", F.col("ts").cast("timestamp"))
