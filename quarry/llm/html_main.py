@@ -4,8 +4,10 @@ A page becomes its text nodes in order, each with its root-to-leaf tag path. Tex
 per path and divided by the path's nodes, each ratio is smoothed along the page, the two are fused by multiplication,
 and paths whose mean is above a part of the page's standard deviation are content. The content nodes decide which
 element is the article: from the root down to the child that holds nearly all of their text, stopping at an article or
-at an element that has its heading. All blocks of that element are the text; menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments, known by element, role or class name, never count and never show.
+at an element that has its heading. All blocks of that element are the text. Scripts, styles and the like never show.
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by element, role or, for
+containers only, class and id; the content nodes overrule a name or a form: an element that holds half of their text, or
+the page's article, stays. Inside an article only whole class names count, and no id.
 
 Defined cases: a null or empty page, and one without content, give an empty text; cut-off and badly nested markup is
 closed as browsers do in the common cases; character references are decoded; all white space, the no-break space
@@ -27,7 +29,11 @@ from pyspark.sql import functions as F
 
 # Element, role and class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head title script style noscript template iframe svg math canvas object audio video textarea select option button nav aside form footer dialog menu label fieldset datalist".split())
+GONE = set("head title script style noscript template iframe svg canvas object audio video textarea select option datalist".split())
+HIDDEN = set("button nav aside form footer dialog menu label fieldset".split())
+INLINE_HIDDEN = {"button", "label"}  # words of a sentence where they stand in one
+CONTAINERS = set("div section ul ol dl table aside nav header footer form fieldset details figure center td".split())
+COMMENT_NAMES = set("comment comments commentlist respond replies disqus".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -41,6 +47,7 @@ HIDDEN_NAMES = set(
     "recommendations trending newsletter subscribe subscription signup login search skip toolbar form".split()
 )
 HEADINGS = {"h1", "h2"}
+SENTENCES = set("p h1 h2 h3 h4 h5 h6 blockquote dd figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
@@ -49,62 +56,79 @@ CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 
 
 class Page(HTMLParser):
-    """Elements as parallel lists, and text nodes as (element, block, text)."""
+    """Elements as parallel lists, and text nodes as (element, block, text). Tag paths are numbers, and open elements are
+    counted by tag, so that deep nesting costs no more than its elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.path, self.hidden = [""], [-1], [""], [False]
+        self.tag, self.parent, self.path, self.gone, self.soft = [""], [-1], [0], [False], [""]
+        self.paths: dict[tuple[int, str], int] = {}
         self.open = [0]
+        self.count: dict[str, int] = defaultdict(int)
         self.block = 0
         self.texts: list[tuple[int, int, str]] = []
 
-    def _hides(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _soft(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """Why an element may be no content: "element", "name" or "comment"; empty if nothing says so."""
+        in_article = bool(self.count["article"] or self.count["main"])
+        if tag in INLINE_HIDDEN and any(self.count[x] for x in SENTENCES):
+            return ""
         if tag in HIDDEN:
-            return True
-        in_article = any(self.tag[i] in ("article", "main") for i in self.open)
+            return "name" if tag in ("form", "fieldset") else "element"
         if tag == "header":
-            return not in_article
+            return "" if in_article else "element"
         names: set[str] = set()
         for k, v in attrs:
             v = v or ""
-            if k in ("class", "id"):
-                names.update(x.lower() for x in NAME.findall(v))
+            if k == "class" or (k == "id" and not in_article):
+                names.update(v.lower().split() if in_article else (x.lower() for x in NAME.findall(v)))
             elif (k == "role" and v.lower() in HIDDEN_ROLES) or k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none", v)):
-                return True
-        if tag in ("html", "body", "main", "article"):
-            return tag == "article" and bool(names & {"comment", "comments"})
-        return bool(names & HIDDEN_NAMES) or ("header" in names and not in_article)
+                return "name" if k == "role" else "element"
+        if tag == "article" or tag in CONTAINERS:
+            if names & COMMENT_NAMES:
+                return "comment"
+            if tag != "article" and (names & HIDDEN_NAMES or ("header" in names and not in_article)):
+                return "name"
+        return ""
 
     def _close(self, at: int) -> None:
+        for e in self.open[at:]:
+            self.count[self.tag[e]] -= 1
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.block += 1
-            for at in range(len(self.open) - 1, 0, -1):  # a block ends an open paragraph
+            for at in range(len(self.open) - 1, 0, -1) if self.count["p"] else ():  # a block ends an open paragraph
                 name = self.tag[self.open[at]]
                 if name == "p":
                     self._close(at)
                     break
-                if name in BLOCK or name in HIDDEN:
+                if name in BLOCK:
                     break
         elif tag == "br":
             self.handle_data(" ")
         if tag in VOID:
             return
         if tag in CLOSES:
+            left = sum(self.count[x] for x in CLOSES[tag])
             for at in range(len(self.open) - 1, 0, -1):
+                if not left:
+                    break
                 name = self.tag[self.open[at]]
                 if name in CLOSES[tag]:
+                    left -= 1
                     self._close(at)
                 if name in WITHIN[tag]:
                     break
         up = self.open[-1]
+        self.soft.append(self._soft(tag, attrs))
         self.tag.append(tag)
         self.parent.append(up)
-        self.path.append(f"{self.path[up]}/{tag}")
-        self.hidden.append(self.hidden[up] or self._hides(tag, attrs))
+        self.path.append(self.paths.setdefault((self.path[up], tag), len(self.paths) + 1))
+        self.gone.append(self.gone[up] or tag in GONE)
         self.open.append(len(self.tag) - 1)
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -114,16 +138,37 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.block += 1
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[at]] == tag:
                 self._close(at)
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden[self.open[-1]]:
+        if not self.gone[self.open[-1]]:
             self.texts.append((self.open[-1], self.block, data))
 
 
+def hidden_elements(page: Page, weight: list[float], plain: list[float], holds: list[bool]) -> list[bool]:
+    """Which elements are no content, with all in them. ``weight``: the content nodes' text in an element; ``plain``: all
+    text in it; ``holds``: whether it holds the page's article. Where there is one, text elsewhere does not count."""
+    hidden = [False] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        half = weight[e] > 0 and weight[e] >= 0.5 * weight[0] and plain[e] >= 0.3 * plain[0] and holds[e] == holds[0]
+        stays = (half or holds[e]) if page.soft[e] == "name" else (half and holds[e]) if page.soft[e] == "comment" else False
+        hidden[e] = hidden[page.parent[e]] or (bool(page.soft[e]) and not stays)
+    return hidden
+
+
+def totals(page: Page, own: list[float]) -> list[float]:
+    """Sums over each element and all in it."""
+    out = list(own)
+    for e in range(len(page.tag) - 1, 0, -1):  # children come after their parents
+        out[page.parent[e]] += out[e]
+    return out
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
     """A Gaussian mean over the node and the two on either side, with the ends repeated."""
     if len(x) < 2:
@@ -159,15 +204,21 @@ def main_text(html: str) -> str:
     page = Page()
     page.feed(CUT_TAG.sub("", html))
     page.close()
-    weight = [0.0] * len(page.tag)
-    for (e, _, text), chosen in zip(page.texts, content_nodes(page), strict=True):
-        if chosen:
-            weight[e] += len(text)
-    for e in range(len(page.tag) - 1, 0, -1):  # children come after their parents
-        weight[page.parent[e]] += weight[e]
+    own, plain = [0.0] * len(page.tag), [0.0] * len(page.tag)
+    for (e, _, text), good in zip(page.texts, content_nodes(page), strict=True):
+        own[e] += len(text) * good
+        plain[e] += len(text)
+    articles = totals(page, [float(t in ("article", "main") and page.soft[e] != "comment") for e, t in enumerate(page.tag)])
+    hidden = hidden_elements(page, totals(page, own), totals(page, plain), [x > 0 for x in articles])
+    page.texts = [x for x in page.texts if not hidden[x[0]]]
+    own = [0.0] * len(page.tag)
+    for (e, _, text), good in zip(page.texts, content_nodes(page), strict=True):  # again, of what is left
+        if good:
+            own[e] += len(text)
+    weight = totals(page, own)
     children = defaultdict(list)
     for e in range(1, len(page.tag)):
-        if not page.hidden[e]:
+        if not hidden[e]:
             children[page.parent[e]].append(e)
     root = 0
     while weight[0] and page.tag[root] != "article" and not any(page.tag[c] in HEADINGS for c in children[root]):

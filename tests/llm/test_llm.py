@@ -282,6 +282,40 @@ def test_main_text():
     assert html_main.main_text("<article>" + "<p>Some words, here.</p>" * 3000 + "</article>").count("\n") == 2999
 
 
+STORY = "<h1>A title</h1><p>The first paragraph of it, which has some words.</p><h2 id=\"search\">A part</h2><p class=\"share-price\">The second one, with a price.</p>"
+STORY_TEXT = "A title\nThe first paragraph of it, which has some words.\nA part\nThe second one, with a price."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><article>{STORY}</article><div class=ad>Buy, now.</div></body>",
+        f"<body><form action=x><div id=content>{STORY}</div><input></form></body>",
+        f"<body><div class='ad-hoc'>{STORY}</div><nav>Menu, one.</nav></body>",
+        f"<body><div class='has-sidebar layout-with-menu'><article>{STORY}</article><div class=sidebar>Other, things.</div></div></body>",
+        f"<body><div id='search-results'><main>{STORY}</main></div><div id=comments><p>{'A comment, from a reader. ' * 40}</p></div></body>",
+        f"<body><article>{STORY.replace('<h2', '<section id=related-work><h2')}</section></article></body>",
+        f"<body><article>{STORY.replace('<h2', '<section id=discussion><h2')}</section><div class=related>More, of this.</div></article></body>",
+    ],
+)
+def test_names_do_not_hide_an_article(page):
+    assert html_main.main_text(page) == STORY_TEXT
+
+
+def test_inline_elements_of_a_sentence_stay():
+    text = "<article><h1>T</h1><p>Let <math><mi>x</mi></math> be a <button>key</button> and <label>name</label>, ok.</p><button>Share, please.</button></article>"
+    assert html_main.main_text(text) == "T\nLet x be a key and name, ok."
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    deep = html_main.main_text("<article>" + "<b>" * 50_000 + "Some words, deep inside." + "</b>" * 50_000 + "</article>")
+    html_main.main_text("<div>" * 50_000 + "<li>a, b" * 2000)
+    assert deep == "Some words, deep inside." and time.perf_counter() - began < 20
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r["id"], r["text"], r["n_chars"]) for r in html_main.extract(df).collect()) == [(1, TEXT, len(TEXT)), (2, "", 0), (2, "", 0)]
