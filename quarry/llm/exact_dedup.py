@@ -6,7 +6,9 @@ sorted by digest and holds one record per text. Round by round, ``fan_in`` neigh
 exchange, with more than two partners): the merge sorts by digest, keeps the smallest (or largest) identifier among
 verified equals and adds up their counts. After ceil(log(runs, fan_in)) rounds one record per text is left, spread
 over all partitions by digest. A text with a third of all rows is at most ``runs`` records after the first step,
-so no task ever meets its rows together. Texts never move; only records do.
+so no task ever meets its rows together. Only records move along the tree; ``drop_copies`` then shuffles the texts once,
+``assign`` once more by their key where the table of records is too large to be sent to every task. Digests of very long
+texts take time in proportion to their bytes.
 
 Defined cases: a null text counts as empty; empty texts equal each other; rows with a null identifier belong to their
 text's group but never name it unless all are null; a row that is repeated whole gets the same answer each time
@@ -24,13 +26,13 @@ from quarry.llm.common import ascii_lower, cut, text_or_empty
 KEY = ["_xd_digest", "_xd_length", "_xd_check"]
 
 
-def with_key(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the digest of the normalised text and the two values that verify it."""
-    normal = ascii_lower(text_or_empty(text_col))
+def with_key(df: DataFrame, text_col: str = "text", fold: bool = True) -> DataFrame:
+    """Add the digest of the normalised text (``fold``: A-Z in lower case) and the two values that verify it."""
+    normal = ascii_lower(text_or_empty(text_col)) if fold else text_or_empty(text_col)
     return df.withColumns({"_xd_digest": F.unhex(F.sha2(normal, 256)), "_xd_length": F.octet_length(normal), "_xd_check": F.xxhash64(normal)})
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "smallest", runs: int = 64, fan_in: int = 8, carry: dict | None = None) -> DataFrame:
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "smallest", runs: int = 64, fan_in: int = 8, carry: dict | None = None, fold: bool = True) -> DataFrame:
     """One record per distinct text: the key columns, ``_xd_keep`` and ``_xd_n``.
 
     ``carry`` names further aggregates to merge along the tree: name -> (column of ``df``, associative function).
@@ -42,7 +44,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, kee
     carry = carry or {}
     pick = F.min if keep == "smallest" else F.max
     last = F.col(id_col).isNull() if keep == "smallest" else F.col(id_col).isNotNull()  # null identifiers come last
-    rows = with_key(df, text_col).select(
+    rows = with_key(df, text_col, fold).select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).alias("_xd_run"),
         *KEY,
         F.struct(last.alias("last"), F.col(id_col).alias("id")).alias("_xd_best"),
@@ -61,10 +63,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, kee
     return merged(out.drop("_xd_run"), []).select(*KEY, F.col("_xd_best.id").alias("_xd_keep"), "_xd_n", *carry)
 
 
-def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold: bool = True, **options) -> DataFrame:
     """``df`` with the key columns, ``_xd_keep``, ``_xd_n`` and ``_xd_kept``, one row per row of ``df``."""
-    table = cut(groups(df, id_col, text_col, **options), "digest-groups")
-    return with_key(df, text_col).join(table, KEY, "left").withColumn("_xd_kept", F.col(id_col).eqNullSafe(F.col("_xd_keep")))
+    table = cut(groups(df, id_col, text_col, fold=fold, **options), "digest-groups")
+    return with_key(df, text_col, fold).join(table, KEY, "left").withColumn("_xd_kept", F.col(id_col).eqNullSafe(F.col("_xd_keep")))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "smallest", runs: int = 64, fan_in: int = 8) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over metadata, with leaves of equal bytes.
 
-The points are documents, weighted by bytes; the dimensions are their source, language and length, each scaled to its
-range over the table. A node that still has k shards is split along its widest dimension at the distributed weighted
+The points are documents, weighted by bytes; the dimensions are the logarithm of their length and the ranks of their
+source and language among the distinct values, each scaled to its range over the table. A node that still has k shards is split along its widest dimension at the distributed weighted
 quantile floor(k / 2) / k (a median where k is even), until every leaf is one shard of about the target bytes. The
 driver holds only the tree: at each level one aggregate gives each open node's ranges, and a few histograms of at most
 ``bins`` rows per node narrow down the cut. The tree becomes one column expression; rows are never moved for a split.
@@ -12,7 +12,8 @@ target and than the largest document; such a group is dealt row by row, as whole
 
 Slots count a shard's rows from 0: rows are numbered within (shard, block) and the blocks' counts are summed.
 
-Defined cases: a null text has no bytes and weighs 16; a null source or language comes first in its dimension; rows with
+Defined cases: a null text has no bytes and weighs 16; very long texts are single points, and a shard cannot be smaller
+than its longest document; a null source or language comes first in its dimension; rows with
 equal identifiers and texts may part only if their group is dealt by row; an empty table gives an empty result; fewer
 documents than shards leave shards empty; other columns are ignored.
 """
@@ -29,7 +30,7 @@ from quarry.llm import exact_dedup
 from quarry.llm.common import cut
 
 SIZE_EXTRA = 16
-CELL_BITS, TIE_BITS = 22, 40
+CELL_BITS, TIE_BITS = 30, 32
 
 
 @dataclass
@@ -42,18 +43,29 @@ class Node:
     right: Node | None = None
 
 
-def _text_place(name: str) -> Column:
-    """A number that sorts as the first six bytes of the text do."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 12), 12, "0"), 16, 10).cast("double"), F.lit(0.0))
+def _ranked(rows: DataFrame, name: str, place: str, max_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` (written) with the rank of ``name`` among its distinct values as ``place``, from 1 (null: 0); and how many
+    values there are. The values go to every task where they hold at most ``max_bytes``; else both sides are shuffled."""
+    values = rows.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name)
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # counts from 0 within a sorted partition
+    values = cut(values.select(F.col(name).alias("_kd_value"), F.spark_partition_id().alias("_kd_part"), own.alias("_kd_own")), "shard-values")
+    held = values.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_kd_value") + F.lit(32)).alias("bytes")).first()
+    # one row per partition
+    before = F.sum("_kd_n").over(Window.orderBy("_kd_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = values.groupBy("_kd_part").agg(F.count(F.lit(1)).alias("_kd_n")).select("_kd_part", F.coalesce(before, F.lit(0)).alias("_kd_before"))
+    ranks = values.join(F.broadcast(parts), "_kd_part").select("_kd_value", (F.col("_kd_before") + F.col("_kd_own") + 1).cast("double").alias(place))
+    how = "broadcast" if (held["bytes"] or 0) <= max_bytes else "merge"
+    joined = rows.join(ranks.hint(how), F.col(name) == F.col("_kd_value"), "left").drop("_kd_value")
+    return joined.withColumn(place, F.coalesce(place, F.lit(0.0))), held["n"]
 
 
-def points(df: DataFrame, shards: int, id_col: str, text_col: str, meta: tuple[str, ...]) -> DataFrame:
+def points(df: DataFrame, shards: int, id_col: str, text_col: str, meta: tuple[str, ...], max_value_bytes: int = 64 << 20) -> DataFrame:
     """One narrow row per document: identifier, size, crc32 and its place k0, k1, ... in each dimension."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + SIZE_EXTRA
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
     carry = {f"_kd_m{i}": (m, F.min) for i, m in enumerate(meta)}
     rows = df.select(id_col, text_col, *[m for m in meta if m not in (id_col, text_col)], size.alias("_kd_size"), crc.alias("_kd_crc"))
-    rows = exact_dedup.assign(rows, id_col, text_col, carry=carry)
+    rows = exact_dedup.assign(rows, id_col, text_col, carry=carry, fold=False)
     size = F.col("_kd_size")
     rows = rows.select(  # no text: it is not shuffled
         F.col(id_col).alias("id"),
@@ -62,21 +74,24 @@ def points(df: DataFrame, shards: int, id_col: str, text_col: str, meta: tuple[s
         F.xxhash64("_xd_digest").alias("group"),
         (F.col("_xd_n") * size).alias("group_bytes"),
         F.log(size.cast("double")).alias("x0"),
-        *[_text_place(f"_kd_m{i}").alias(f"x{i + 1}") for i in range(len(meta))],
+        *carry,
     )
     rows = cut(rows, "shard-rows")
-    dims = range(len(meta) + 1)
-    top = rows.agg(F.sum("size").alias("total"), F.max("size").alias("largest"), *[f(f"x{d}").alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    top = rows.agg(F.sum("size").alias("total"), F.max("size").alias("largest"), F.min("x0").alias("lo"), F.max("x0").alias("hi"), *[F.max(F.col(m).isNull()).alias(f"null{i}") for i, m in enumerate(carry)]).first()
+    ends = [(top["lo"] or 0.0, top["hi"] or 0.0)]
+    for i, m in enumerate(carry):
+        rows, n = _ranked(rows, m, f"x{i + 1}", max_value_bytes)
+        ends.append((0.0 if top[f"null{i}"] else 1.0, float(n)))
     most = max((top["total"] or 0) / shards / 100, top["largest"] or 0)
     mask = F.lit((1 << TIE_BITS) - 1)
     tie = F.when(F.col("group_bytes") > most, F.xxhash64("group", "id")).otherwise(F.col("group")).bitwiseAND(mask)
 
     def place(d: int) -> Column:
-        lo, hi = top[f"lo{d}"] or 0.0, top[f"hi{d}"] or 0.0
+        lo, hi = ends[d]
         cell = F.floor((F.col(f"x{d}") - lo) / F.lit((hi - lo) or 1.0) * ((1 << CELL_BITS) - 1)).cast("long")
         return F.shiftleft(cell, TIE_BITS).bitwiseOR(tie)
 
-    return cut(rows.select("id", "size", "crc", *[place(d).alias(f"k{d}") for d in dims]), "shard-points")
+    return cut(rows.select("id", "size", "crc", *[place(d).alias(f"k{d}") for d in range(len(ends))]), "shard-points")
 
 
 def _walk(node: Node, leaf) -> Column:
@@ -114,19 +129,18 @@ def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 4096, toleranc
             part = here.filter(F.col("node").isin(list(narrow))).select("node", "size", value.alias("v"), low.alias("low"), step.alias("step"))
             top = F.element_at(F.create_map(*[F.lit(x) for i, s in narrow.items() for x in (i, s["hi"])]), F.col("node"))
             part = part.filter((F.col("v") >= F.col("low")) & (F.col("v") <= top))
-            counts = part.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+            counts = part.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
             of = defaultdict(list)
             for c in sorted(counts, key=lambda c: c["bin"]):
                 of[c["node"]].append(c)
             for i, s in list(narrow.items()):
                 below = s["below"]
                 for c in of[i]:
-                    lo = s["lo"] + c["bin"] * s["step"]
-                    hi = min(lo + s["step"] - 1, s["hi"])
+                    lo, hi = c["lo"], c["hi"]  # of the points in the bin, so that empty ranges cost no further histogram
                     if below + c["w"] >= s["want"] or hi == s["hi"]:
                         break
                     below += c["w"]
-                if c["w"] <= s["slack"] or lo == hi or c["n"] == 1:
+                if c["w"] <= s["slack"] or lo == hi:
                     nearer = abs(below + c["w"] - s["want"]) <= abs(below - s["want"])
                     open_nodes[i].cut = hi if nearer else lo - 1
                     del narrow[i]
