@@ -6,10 +6,11 @@ bundle of its training texts, each scaled to length one. A text is given the lan
 cosine with it.
 
 Bundling is linear, so a batch of texts becomes counts of n-grams, whose bound vectors are made once per batch and
-multiplied with the counts. Letters are lower-cased; every run of other characters is one boundary symbol. The letters of
-the scripts' tail share ``SYMBOLS`` codes by hash, which only matters for letters far apart in Unicode.
+multiplied with the counts. Letters are lower-cased; every run of other characters is one boundary symbol, the space.
+Each code point has a vector of its own, whose signs are the bits of a hash of it; nothing is stored per alphabet.
 
-Training reads at most ``sample_rows`` labelled texts, those with the smallest hashes of their identifiers, whole.
+Training reads about ``sample_rows`` labelled texts, those whose identifiers hash below a bound, whole; all of them where
+there are no more than that.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; ties go to the language that sorts first;
 null labels are not learned; with no labelled text every text is ``und``; repeated rows get equal answers; very long
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import text_or_empty
 
-N, DIM, SYMBOLS, SEED = 3, 1024, 61, 7
+N, DIM, SEED = 3, 1024, 7
+POINT_BITS = 21  # of a code point
 NO_LETTER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -37,32 +39,38 @@ class Profiles:
     """Letter vectors, and n-gram vectors bound from them."""
 
     def __init__(self, n: int = N, dim: int = DIM, seed: int = SEED):
-        self.n, self.dim = n, dim
-        self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), (SYMBOLS + 1, dim))
-        code = np.arange(1 << 16)
-        self.code_of = np.where((code >= 97) & (code < 123), code - 96, 27 + code * 40503 % 65521 % (SYMBOLS - 26))
-        self.code_of[32] = 0
+        if not 1 <= n <= 63 // POINT_BITS:
+            raise ValueError("n must be 1 to 3")
+        self.n, self.dim, self.seed = n, dim, seed
+
+    def letters(self, points: np.ndarray) -> np.ndarray:
+        """One row of +1 and -1 per code point."""
+        lanes = -(-self.dim // 64)
+        x = (points.astype(np.uint64)[:, None] * np.uint64(lanes) + np.arange(lanes, dtype=np.uint64)) ^ np.uint64(self.seed << 40)
+        x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)  # three multiplications with odd constants mix all bits
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        signs = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)[:, : self.dim]
+        return signs.astype(np.int8) * 2 - 1
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of the text by number, and their counts."""
         clean = NO_LETTER.sub(" ", f" {text.lower()} ")
         if not any(map(str.isalpha, clean)):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        points = np.frombuffer(clean.encode("utf-32-le"), dtype="<u4")
-        codes = self.code_of[points & 0xFFFF]
-        keys = np.zeros(len(codes) - self.n + 1, dtype=np.int64)
+        points = np.frombuffer(clean.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        keys = np.zeros(len(points) - self.n + 1, dtype=np.int64)
         for i in range(self.n):
-            keys = keys * (SYMBOLS + 1) + codes[i : len(codes) - self.n + 1 + i]
-        if len(keys) < 50_000:
-            return np.unique(keys, return_counts=True)
-        counts = np.bincount(keys)
-        found = np.flatnonzero(counts)
-        return found, counts[found]
+            keys = keys << POINT_BITS | points[i : len(points) - self.n + 1 + i]
+        return np.unique(keys, return_counts=True)
 
     def bound(self, keys: np.ndarray) -> np.ndarray:
+        places = [keys >> POINT_BITS * i & (1 << POINT_BITS) - 1 for i in range(self.n)]
+        points, at = np.unique(np.concatenate(places), return_inverse=True)
+        letters = self.letters(points)
         out = np.ones((len(keys), self.dim), dtype=np.int8)
-        for i in range(self.n):  # the last letter is not rolled, the one before by one, ...
-            out *= np.roll(self.letters, i, axis=1)[keys // (SYMBOLS + 1) ** i % (SYMBOLS + 1)]
+        for i, own in enumerate(at.reshape(self.n, -1)):  # the last letter is not rolled, the one before by one, ...
+            out *= np.roll(letters, i, axis=1)[own]
         return out.astype(np.float32)
 
     def bundles(self, texts: list[str]) -> np.ndarray:

@@ -257,11 +257,26 @@ def test_bundles_are_sums_of_bound_vectors():
     text = "abcab"
     total = np.zeros(64)
     for i in range(len(text)):
-        a, b, c = (p.letters[p.code_of[ord(x)] if x != " " else 0] for x in f" {text} "[i : i + 3])
+        a, b, c = p.letters(np.array([ord(x) for x in f" {text} "[i : i + 3]]))
         total += np.roll(a, 2) * np.roll(b, 1) * c.astype(float)
     assert p.bundles([text])[0] == pytest.approx(total / np.linalg.norm(total), abs=1e-5)
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    p = langid.Profiles()
+    points = np.array([i for i in range(0x20000) if chr(i).isalpha()])
+    vectors = p.letters(points)
+    assert vectors.shape == (len(points), 1024) and np.isin(vectors[:500], (-1, 1)).all()
+    assert len({v.tobytes() for v in np.packbits(vectors > 0, axis=1)}) == len(points)
+    near = np.array([ord(x) for x in "aàáâãäåąbcçdeéèêiíoóöōuüsßшщжя漢字𐐨"])
+    cosine = p.letters(near).astype(np.int64) @ p.letters(near).astype(np.int64).T / 1024
+    assert np.abs(cosine - np.eye(len(near))).max() < 0.2
+    # a text's grams keep letters apart that share their low 16 bits
+    assert len(p.grams("𐐨\u0428")[0]) == 2 and p.grams("𐐨")[0].tolist() != p.grams(chr(ord("𐐨") & 0xFFFF))[0].tolist()
+    with pytest.raises(ValueError):
+        langid.Profiles(n=4)
+
+
 # ---- pages
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header class="site-header"><a href="/">Home</a></header>
@@ -526,6 +541,28 @@ def test_shards_are_near_equal_and_groups_whole(spark):
     assert len(small) > 100 and all(len(places[t]) == 1 for t in small)  # small groups are never parted
 
 
+def test_sources_that_begin_alike_are_split_by_name(spark):
+    made = [(i, f"text number {i:05d} of some words", "en", f"https://site{i % 50:02d}.org", 0) for i in range(2000)]
+    df = spark.createDataFrame(made, DOCS)
+    want = None
+    for max_value_bytes in (1 << 20, 0):  # values sent to every task, or shuffled
+        rows = sharding.points(df, 10, "doc_id", "text", ("source", "lang"), max_value_bytes)
+        cells = {(made[r["id"]][3], r["k1"] >> sharding.TIE_BITS) for r in rows.collect()}
+        assert len(cells) == 50 and sorted(cells) == sorted(cells, key=lambda x: x[1])  # one place each, in order
+        want = want or cells
+        assert cells == want
+    held = defaultdict(set)
+    for r in sharding.shard(df, 10).collect():
+        held[r["shard"]].add(made[r["id"]][3])
+    assert len(held) == 10 and max(map(len, held.values())) <= 7  # 5, and those that a cut divides
+
+
+def test_groups_for_shards_are_equal_texts(spark):
+    df = spark.createDataFrame([(1, "Some text"), (2, "some text"), (3, "some text")], "doc_id long, text string")
+    assert [r["_xd_n"] for r in exact_dedup.assign(df, fold=False).orderBy("doc_id").collect()] == [1, 2, 2]
+    assert [r["_xd_n"] for r in exact_dedup.assign(df).orderBy("doc_id").collect()] == [3, 3, 3]
+
+
 # ---- lines
 
 def edits(a, b, most):
