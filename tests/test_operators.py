@@ -233,3 +233,18 @@ def test_silent_workers_as_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("silent"), "job_id", "heartbeats") == [("j1", 2)]  # z's session is still open
+
+
+def test_own_folder_only_where_none_is_named():
+    from types import SimpleNamespace
+
+    from quarry.sources.shared import shared_folder
+
+    def session(folder, master="local[2]", app="app"):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, applicationId=app))
+
+    assert shared_folder(session("/shared/x/")) == "/shared/x"
+    own = shared_folder(session(None))
+    assert own == shared_folder(session(None)) != shared_folder(session(None, app="other"))
+    with pytest.raises(ValueError):
+        shared_folder(session(None, master="spark://host:7077"))
