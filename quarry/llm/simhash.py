@@ -339,6 +339,7 @@ class Bounds:
 
 
 #: Two blocks of 16 bits in each word. Texts at 0.8 differ by one bit or none in a block with a probability of 0.28.
+NEAR = 1
 BLOCKS = [(w, 0xFFFF << shift) for w in range(WORDS) for shift in (0, 32)]
 
 
@@ -396,19 +397,29 @@ def _nearest(pdf: pd.DataFrame, bits: tuple[int, int], k: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b, "d": d, "more": more})
 
 
-def _across(pdf: pd.DataFrame, bits: tuple[int, int]) -> pd.DataFrame:
-    """All candidate pairs of a task whose roots differ. Columns c0: a word; c1: the root; c2: the longer fingerprint."""
+def _across(pdf: pd.DataFrame, bits: tuple[int, int], near: int) -> pd.DataFrame:
+    """All candidate pairs of a task whose roots differ. Columns c0: the root; c1: the longer fingerprint; c2, ...: all
+    words. A pair within ``near`` bits in some blocks surely meets in each of them, and is given by the first alone; one
+    that meets by chance only is given wherever it does."""
     pdf = pdf.sort_values(["role", "pid"], kind="stable")
-    f, root, pid, role = _unsigned(pdf["c0"]), pdf["c1"].to_numpy(np.int64), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
-    long = np.frombuffer(b"".join(pdf["c2"]), "<u8").reshape(len(pdf), -1)
+    words = np.stack([_unsigned(pdf[f"c{2 + w}"]) for w in range(WORDS)])
+    part, root, pid, role = int(pdf["part"].iloc[0]), pdf["c0"].to_numpy(np.int64), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
+    long = np.frombuffer(b"".join(pdf["c1"]), "<u8").reshape(len(pdf), -1)
     found = [np.zeros((0, 2), np.int64)]
-    for a, b in _candidates(f, int(np.count_nonzero(role == 0)), bool((role == 1).any()), bits[0], False):
+    for a, b in _candidates(words[BLOCKS[part][0]], int(np.count_nonzero(role == 0)), bool((role == 1).any()), bits[0], False):
         apart = root[a] != root[b]
         a, b = a[apart], b[apart]
         for at in range(0, len(a), 100_000):
             x, y = a[at : at + 100_000], b[at : at + 100_000]
-            near = np.bitwise_count(long[x] ^ long[y]).sum(axis=1, dtype=np.int64) <= bits[1]
-            pairs = np.sort(np.stack([pid[x[near]], pid[y[near]]], axis=1), axis=1)
+            close = np.bitwise_count(long[x] ^ long[y]).sum(axis=1, dtype=np.int64) <= bits[1]
+            x, y = x[close], y[close]
+            first = np.full(len(x), part)
+            for k in range(len(BLOCKS) - 1, -1, -1):
+                word, mask = BLOCKS[k]
+                differ = words[word][x] ^ words[word][y]
+                first[(np.bitwise_count(differ & np.uint64(mask)) <= near) & (np.bitwise_count(differ) <= bits[0])] = k
+            own = first == part
+            pairs = np.sort(np.stack([pid[x[own]], pid[y[own]]], axis=1), axis=1)
             found.append(np.unique(pairs, axis=0))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -451,7 +462,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = cut(long_fingerprints(df, width, id_col, text_col), "long-fingerprints")
     # rows with equal fingerprints are one point; a text of them stands for it
     points = cut(prints.groupBy(*words).agg(F.min("id").alias("first"), F.min("row").alias("pid")), "points")
-    forest = planted(points, BLOCKS, 1, leaf_rows=leaf_rows, sample_rows=sample_rows)
+    forest = planted(points, BLOCKS, NEAR, leaf_rows=leaf_rows, sample_rows=sample_rows)
     tasks = routed(points, forest, lambda w: [f"f{w}", f"f{(w + 1) % WORDS}"]).groupBy(*TASK)
     limits = bound.bits(64), bound.bits(128)
     met = tasks.applyInPandas(lambda pdf: _nearest(pdf, limits, neighbours), "a long, b long, d long, more boolean")
@@ -468,8 +479,8 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = longer(restricted(prints.select("row", "grams"), crowded.withColumnRenamed("pid", "row"), "row"))
     left = cut(left.join(sketches, F.col("pid") == F.col("row")).drop("row"), "crowded-points")
     most = bound.bits(64), bound.bits(64 * LONG)
-    tasks = routed(left, forest, lambda w: [f"f{w}", "root", "long"]).groupBy(*TASK)
-    rest = cut(tasks.applyInPandas(lambda pdf: _across(pdf, most), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+    tasks = routed(left, forest, lambda w: ["root", "long", *words]).groupBy(*TASK)
+    rest = cut(tasks.applyInPandas(lambda pdf: _across(pdf, most, NEAR), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "other-pairs")
     edges = found.unionByName(similar(rest, prints, threshold))
     rows = prints.select("id", *words).join(points.select("pid", *words), words).select("id", "pid")
     return named(rows, points.select("pid", "first"), edges).select("id", "component")

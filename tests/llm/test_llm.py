@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -505,6 +506,18 @@ def test_mix(docs, rows):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
 
 
+def test_a_pair_is_given_by_its_first_block():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, 64 * simhash.WORDS)
+    bits = np.stack([base ^ (rng.random(base.size) < 0.04 * (1 + i % 3)) for i in range(80)])
+    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    frame = pd.DataFrame({"pid": np.arange(80), "role": 0, "c0": np.arange(80), "c1": [w.tobytes() for w in words], **{f"c{2 + k}": words[:, k] for k in range(simhash.WORDS)}})
+    once, always = ([simhash._across(frame.assign(part=k), (12, 90), near) for k in range(len(simhash.BLOCKS))] for near in (simhash.NEAR, -1))
+    pairs = [{(a, b) for x in found for a, b in zip(x["a"], x["b"], strict=True)} for found in (once, always)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 500
+    assert sum(map(len, once)) < 1.5 * len(pairs[0]) < sum(map(len, always)) / 3
+
+
 # ---- sharding
 
 def test_shards(docs, rows):
