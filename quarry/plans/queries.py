@@ -6,15 +6,17 @@ the repository), events for jobs and events. ``BASE`` is that mapping in SQL; th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import links, paths, vectors
+from quarry.functions import lines, links, paths, vectors
 from quarry.operators import chunk, discover, embed, evaluate, jobs, registry, search, tables
 from quarry.plans import index
-from quarry.sources.shared import cut
+from quarry.sources import corpus as sources
+from quarry.sources.shared import cut, shared_folder
 from quarry.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +217,17 @@ def ann_cells(spark, sf_dir):
     return search.search_cells(rows, asked(spark, sf_dir), search.cells(rows)).select("query_id", "chunk_id", "score", "rank")
 
 
+@query("""SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0""")
+def ann_recall(spark, sf_dir):
+    """Of the exact best of each query, the share that the approximate search finds: 0.9 or more over all queries."""
+    rows = chunk_vectors(spark, sf_dir).select("chunk_id", "embedding").withColumn("repository_id", F.lit("all"))
+    asking = asked(spark, sf_dir).withColumn("repository_id", F.lit("all"))
+    near = search.search_cells(rows, asking, search.cells(rows)).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    exact = search.search_blocks(rows, asking).select("query_id", "chunk_id")
+    met = exact.join(near, ["query_id", "chunk_id"], "left")
+    return met.agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("chunk_id")).alias("recall_reached"))
+
+
 def requests(spark, sf_dir):
     q = asked(spark, sf_dir)
     n = F.col("query_id") / 50
@@ -644,3 +657,54 @@ def public_repositories(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").cast("string").alias("last_indexed_sha"), F.min("doc_id").alias("created_at"))
     rows = d.withColumns({"id": F.col("source"), "owner_id": F.lit("private"), "provider": F.lit("github"), "owner_name": owner, "repo_name": F.col("source"), "clone_url": F.concat(F.lit("https://github.com/"), owner, F.lit("/"), "source", F.lit(".git")), "default_branch": F.when(F.length("source") == 4, "dev"), "status": F.lit("indexed")})
     return tables.public_repository(rows)
+
+
+# ---- sources, decoding and models
+
+@query("""SELECT text AS query_id, text AS query, CASE WHEN doc_id < 2 THEN 'd/' || doc_id || ' e/' || doc_id ELSE 'd/' || doc_id || ' d/' || doc_id // 2 || ' e/' || doc_id END AS relevant_paths
+FROM documents WHERE text IS NOT NULL""")
+def labelled_queries(spark, sf_dir):
+    """Labelled queries written as JSON lines, with repeated paths and blank lines, and read back."""
+    n = F.col("doc_id")
+    own, half = F.concat(F.lit("d/"), n), F.concat(F.lit("d/"), F.floor(n / 2))
+    relevant = F.when(n < 2, F.array(own, own, F.concat(F.lit("e/"), n))).otherwise(F.array(own, half, own, F.concat(F.lit("e/"), n)))
+    rows = table(spark, sf_dir, "documents").select(F.explode(F.array(F.lit(""), F.to_json(F.struct(F.col("text").alias("query"), relevant.alias("relevant_paths"))))).alias("value"))
+    path = f"{shared_folder(spark)}/labelled-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return sources.read_labelled(spark, path).withColumn("relevant_paths", F.array_join("relevant_paths", " "))
+
+
+@query("SELECT 'f' || doc_id AS id, source AS repository_id, lang AS language, strlen(text) AS size_bytes, sha256(text) AS checksum_sha256 FROM documents")
+def snapshot_files(spark, sf_dir):
+    """The inventory written as a snapshot in buckets and read back."""
+    rows = files(spark, sf_dir).select("id", "repository_id", "language", "size_bytes", "checksum_sha256")
+    path = sources.write_snapshot(rows, f"{shared_folder(spark)}/files-{uuid.uuid4().hex}")
+    return sources.read_snapshot(spark, path, "id string, repository_id string, language string, size_bytes long, checksum_sha256 string")
+
+
+@query(r"""SELECT doc_id, sha256(text || chr(65533) || chr(8232) || doc_id) AS sha256,
+ len(regexp_split_to_array(text || 'x', '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]')) + 1 AS n_lines FROM documents WHERE text IS NOT NULL""")
+def decoded_lines(spark, sf_dir):
+    """Texts that a byte which is not UTF-8 follows, and a line separator of Unicode before the last line."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    content = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FFE280A8")), F.col("doc_id").cast("string").cast("binary"))
+    text = d.select("doc_id", lines.decoded(content).alias("text"))
+    return text.select("doc_id", F.sha2("text", 256).alias("sha256"), F.size(lines.lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+def length_model():
+    """A model that tells texts apart by their length modulo 8."""
+
+    def vectors_of(texts: list[str]) -> list[list[float]]:
+        return [[2.0 if len(t) % 8 == i else 1.0 for i in range(8)] for t in texts]
+
+    return vectors_of
+
+
+@query("SELECT doc_id AS chunk_id, source AS repository_id, 'lengths' AS model, 8 AS dim, length(text) % 8 + 1 AS place, 0.603::DOUBLE AS largest FROM documents WHERE text IS NOT NULL")
+def model_embed(spark, sf_dir):
+    """A user's model run over all texts in batches, its vectors checked and brought to length 1."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("repository_id"), F.col("text").alias("content"))
+    made = embed.embed(d, embed.provider("model", 8, model_name="lengths", load=length_model))
+    top = F.array_max("embedding")
+    return made.select("chunk_id", "repository_id", "model", "dim", F.array_position("embedding", top).alias("place"), F.round(top.cast("double"), 3).alias("largest"))
