@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, html_main, langid, line_dedup, mixing, packing, pii, quality, sharding, simhash
+from quarry.llm import exact_dedup, html_main, langid, lexical, line_dedup, mixing, packing, pii, quality, sharding, simhash
 from quarry.llm.common import cut
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,8 +73,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.mark(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = cut(lexical.index(documents(spark, sf_dir)), "lexical-index")
+    out = lexical.search(made, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op12_lexical": op12_lexical, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -143,5 +149,21 @@ SELECT doc_id, size, source_size, target,
 FROM n"""
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+a AS (SELECT DISTINCT q, item_id, unnest(t) AS term FROM i),
+p AS (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+c AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM c, s GROUP BY term, n_docs),
+x AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM a JOIN c USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_quality": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op12_lexical": OP12_SQL, "op6_mixing": OP6_SQL, "op7_quality": OP7_SQL, "op8_exact_dedup": OP8_SQL}
