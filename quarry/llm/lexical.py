@@ -81,9 +81,11 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpacked(data: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(data < 128)
+    if len(last) == len(data):  # the usual case: all numbers below 128
+        return data.astype(np.int64)
     first = np.append(0, last[:-1] + 1)
-    out = np.zeros(len(last), np.int64)
-    for k in range(int((last - first).max(initial=-1)) + 1):
+    out = data[first].astype(np.int64) & 127
+    for k in range(1, int((last - first).max()) + 1):
         some = np.flatnonzero(last - first >= k)
         out[some] |= (data[first[some] + k].astype(np.int64) & 127) << 7 * k
     return out
@@ -210,9 +212,15 @@ class Shard:
     def decoded(self, term: str, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents and values in some blocks of a list, in order."""
         _, ends, _, data, _ = self.lists[term]
-        parts = [unpacked(data[ends[b] : ends[b + 1]]) for b in blocks]
-        docs = np.concatenate([np.cumsum(x[0::2]) for x in parts])
-        return docs, value(np.concatenate([x[1::2] for x in parts]), self.m[docs])
+        if len(blocks) < len(ends) - 1:
+            data = np.concatenate([data[ends[b] : ends[b + 1]] for b in blocks])
+        first = np.append(0, np.cumsum(ends[blocks + 1] - ends[blocks]))[:-1]
+        size = np.add.reduceat(data < 128, first) // 2  # postings in each block
+        numbers = unpacked(data)
+        docs = np.cumsum(numbers[0::2])
+        before = np.append(0, docs)[np.cumsum(size) - size]
+        docs -= np.repeat(before, size)
+        return docs, value(numbers[1::2], self.m[docs])
 
     def whole(self, term: str) -> tuple[np.ndarray, np.ndarray]:
         if term not in self.read:
