@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, html_main, langid, lexical, line_dedup, mixing, packing, pii, quality, sharding, simhash
-from quarry.llm.common import cut
+from quarry.llm import exact_dedup, html_main, langid, lexical, line_dedup, mixing, packing, pii, quality, runs, sharding, simhash
+from quarry.llm.common import cut, words
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -79,8 +79,29 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, chosen by the identifier, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.expr("h div 10")
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words(F.coalesce("text", F.lit("")))))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    moved = lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), moved), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.mark(with_planted_runs(documents(spark, sf_dir)))
+    # the greatest length first, then the least start and period
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.sign(y["length"] - x["length"])).when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).otherwise(F.sign(x["period"] - y["period"])).cast("int")), F.lit(0))
+    text = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    rows = out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    return {"op12_lexical": op12_lexical, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op13_runs": op13_runs, "op12_lexical": op12_lexical, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_html": op3_html, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -165,5 +186,30 @@ x AS (
 SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 50"""
 
 
+#: Equal words at most a quarter of the text apart, as stretches of one distance; a stretch that lies within one of a
+#: smaller distance has a smaller period. CRC-32 is that of the decimal digits of doc_id, by its table-free definition.
+OP13_SQL = """
+WITH RECURSIVE b AS (
+  SELECT doc_id, doc_id::VARCHAR AS s, 1 AS i, 4294967295::BIGINT AS c FROM documents
+  UNION ALL
+  SELECT doc_id, s, i + 1, list_reduce([xor(c, ord(s[i])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, (x % 2) * 3988292384)) FROM b WHERE i <= length(s)),
+h AS (SELECT DISTINCT doc_id, xor(c, 4294967295) AS h FROM b WHERE i = length(s) + 1),
+t AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT r, doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t LEFT JOIN h USING (doc_id)),
+d AS (SELECT r, doc_id, w, n, coalesce(a, n) AS a, coalesce(1 + (n - a) // (3 + (h // 10) % 8), 1) AS p FROM v),
+x AS (SELECT r, n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM x JOIN x y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS run FROM e),
+m AS (SELECT r, q, min(i) AS s, count(*) + q AS n FROM g GROUP BY r, q, run HAVING count(*) >= 3 * q),
+k AS (SELECT * FROM m WHERE n >= 6 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.r = m.r AND o.q < m.q AND o.s <= m.s AND o.s + o.n >= m.s + m.n)),
+u AS (SELECT r, count(*) AS n_runs, arg_min({'s': s, 'n': n, 'q': q}, (-n, s, q)) AS b, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM k GROUP BY r),
+z AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM k),
+c AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN z USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN u USING (r) LEFT JOIN c USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_lexical": OP12_SQL, "op6_mixing": OP6_SQL, "op7_quality": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op13_runs": OP13_SQL, "op12_lexical": OP12_SQL, "op6_mixing": OP6_SQL, "op7_quality": OP7_SQL, "op8_exact_dedup": OP8_SQL}
