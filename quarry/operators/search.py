@@ -33,8 +33,9 @@ def search_one(embeddings: DataFrame, repository_id: str, query_vector: list[flo
 def best(scored: DataFrame, k: Column | int, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """Rank the scored rows of each query from 1 and keep k: rows are cut within each task before the shuffle."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), item)
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= S.TOP_K_MAX)
-    return ranked.filter(F.col("rank") <= k)
+    most = k if isinstance(k, int) else S.TOP_K_MAX
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked if isinstance(k, int) else ranked.filter(F.col("rank") <= k)
 
 
 def search_many(embeddings: DataFrame, queries: DataFrame, k: int = S.TOP_K_DEFAULT) -> DataFrame:
@@ -45,38 +46,89 @@ def search_many(embeddings: DataFrame, queries: DataFrame, k: int = S.TOP_K_DEFA
     return best(scored, k)
 
 
-def search_blocks(embeddings: DataFrame, queries: DataFrame, k: int = S.TOP_K_DEFAULT, *, max_query_bytes: int = 64 << 20) -> DataFrame:
-    """Like ``search_many``, with one matrix product per batch of vectors. The queries go to every task if their vectors
-    take at most ``max_query_bytes``; a larger set takes the join."""
-    sizes = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
-    if 8 * sizes[1] > max_query_bytes:
-        return search_many(embeddings, queries, k)
-    rows = queries.select("query_id", "repository_id", "vector").collect()
-    ids = {r: [x for x in rows if x["repository_id"] == r] for r in {x["repository_id"] for x in rows}}
-    matrices = {}
-    for r, own in ids.items():
-        m = np.array([x["vector"] for x in own], dtype=np.float64)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        matrices[r] = ([x["query_id"] for x in own], (m / np.where(length > 0, length, np.nan)).T)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r, part in pdf.groupby("repository_id", sort=False):
-                if r not in matrices:
-                    continue
-                names, matrix = matrices[r]
-                v = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(v, axis=1, keepdims=True)
-                scores = (v / np.where(length > 0, length, np.nan)) @ matrix
-                chunk = part["chunk_id"].to_numpy()
-                by_id = np.argsort(chunk, kind="stable")
-                for j, name in enumerate(names):
-                    order = by_id[np.argsort(-scores[by_id, j], kind="stable")][:k]
-                    yield pd.DataFrame({"query_id": name, "chunk_id": chunk[order], "score": scores[order, j]})
-
+def _tops(names: list, matrix: np.ndarray, items: np.ndarray, vectors_: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best items for each of some queries (a column of ``matrix`` each) by one product."""
+    length = np.linalg.norm(vectors_, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        scores = (vectors_ / np.where(length > 0, length, np.nan)) @ matrix
+    known = np.where(np.isnan(scores), -np.inf, scores)
+    at, query = [], []
+    for j in range(len(names)):
+        column = known[:, j]
+        found = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k]) if len(column) > k else np.arange(len(column))
+        found = found[np.argsort(items[found], kind="stable")]
+        at.append(found[np.argsort(-column[found], kind="stable")][:k])
+        query.append(np.full(len(at[-1]), j))
+    rows, columns = np.concatenate(at), np.concatenate(query)
+    return pd.DataFrame({"query_id": np.array(names, dtype=object)[columns], "chunk_id": items[rows], "score": scores[rows, columns]})
+
+
+def _matrix(rows: list) -> np.ndarray:
+    m = np.array(rows, dtype=np.float64)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return (m / np.where(length > 0, length, np.nan)).T
+
+
+def products(embeddings: DataFrame, queries: DataFrame, k: int, *, within: str = "repository_id", max_query_bytes: int = 64 << 20, block_rows: int = 100_000) -> DataFrame:
+    """For each query (query_id, ``within``, vector) the k best rows of ``embeddings`` (``within``, chunk_id, embedding)
+    of each of its groups, as far as one task sees them: query_id, chunk_id, score. ``best`` merges them.
+
+    Queries of at most ``max_query_bytes`` go to every task and the vectors stay where they are. More of them meet the
+    vectors in blocks: those of a group are dealt over blocks of about ``block_rows``, its queries over blocks of about
+    ``max_query_bytes``, and each pair of blocks is one matrix product, in which the vectors are streamed. Only groups of
+    more than one block are sent to every task by name, and of those there are no more than the tables have blocks."""
+    n, numbers = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
     types = {f.name: f.dataType.simpleString() for f in [*embeddings.schema.fields, *queries.schema.fields]}
-    scored = embeddings.select("repository_id", "chunk_id", "embedding").mapInPandas(run, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
-    return best(scored, k)
+    out = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double"
+    if 8 * numbers <= max_query_bytes:
+        ids: dict = {}
+        for x in queries.select("query_id", within, "vector").collect():
+            ids.setdefault(x[within], ([], []))[0].append(x["query_id"])
+            ids[x[within]][1].append(x["vector"])
+        matrices = {g: (names, _matrix(rows)) for g, (names, rows) in ids.items()}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for g, part in pdf.groupby(within, sort=False):
+                    if g in matrices:
+                        yield _tops(*matrices[g], part["chunk_id"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(np.float64), k)
+
+        return embeddings.select(within, "chunk_id", "embedding").mapInPandas(run, out)
+
+    per_block = max(1, int(max_query_bytes / 8 / max(1, numbers / n)))
+    asked = queries.select(F.col(within).alias("g"), "query_id", "vector").filter("g IS NOT NULL")
+    held = embeddings.select(F.col(within).alias("g"), "chunk_id", F.col("embedding").alias("vector")).join(asked.select("g").distinct(), "g", "left_semi")
+    sizes = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("q"), F.lit(1).cast("long").alias("v"))
+    sizes = sizes.unionByName(held.groupBy("g").agg(F.lit(1).cast("long").alias("q"), F.ceil(F.count(F.lit(1)) / block_rows).alias("v")))
+    large = F.broadcast(sizes.groupBy("g").agg(F.max("q").alias("q"), F.max("v").alias("v")).filter("q > 1 OR v > 1"))
+
+    def dealt(df: DataFrame, own: str, other: str, key: str, kind: int) -> DataFrame:
+        df = df.join(large, "g", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("q", "v")})
+        at = {own: F.pmod(F.xxhash64(key), F.col(own)).alias(f"{own}b"), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"{other}b")}
+        names = [F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in ("query_id", "chunk_id")]
+        return df.select("g", at["q"], at["v"], F.lit(kind).alias("kind"), *names, F.col("vector").cast("array<double>").alias("vector"))
+
+    met = dealt(asked, "q", "v", "query_id", 0).unionByName(dealt(held, "v", "q", "chunk_id", 1))
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, names, rows, matrix = None, [], [], None
+        for pdf in batches:
+            for here, part in pdf.groupby(["g", "qb", "vb", "kind"], sort=False):
+                if here[:3] != key:
+                    key, names, rows, matrix = here[:3], [], [], None
+                if here[3] == 0:
+                    names += part["query_id"].tolist()
+                    rows += part["vector"].tolist()
+                elif names:
+                    matrix = _matrix(rows) if matrix is None else matrix
+                    yield _tops(names, matrix, part["chunk_id"].to_numpy(), np.stack(part["vector"].to_numpy()), k)
+
+    return met.repartition("g", "qb", "vb").sortWithinPartitions("g", "qb", "vb", "kind").mapInPandas(stream, out)
+
+
+def search_blocks(embeddings: DataFrame, queries: DataFrame, k: int = S.TOP_K_DEFAULT, *, max_query_bytes: int = 64 << 20, block_rows: int = 100_000) -> DataFrame:
+    """Like ``search_many``, by matrix products (see ``products``)."""
+    return best(products(embeddings, queries, k, max_query_bytes=max_query_bytes, block_rows=block_rows), k)
 
 
 def cells(embeddings: DataFrame, *, n_cells: int = 64, sample_rows: int = 20_000, seed: int = 7, vector: str = "embedding", item: str = "chunk_id") -> list[list[float]]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import lines, links, paths, vectors
-from quarry.operators import chunk, discover, embed, evaluate, jobs, registry, search, tables
+from quarry.operators import chunk, discover, embed, evaluate, jobs, registry, search, tables, vector_index
 from quarry.plans import index
 from quarry.sources import corpus as sources
 from quarry.sources.shared import cut, shared_folder
@@ -228,6 +228,56 @@ def ann_recall(spark, sf_dir):
     return met.agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("chunk_id")).alias("recall_reached"))
 
 
+ALL_SQL = f"""m AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {COSINE('e.embedding', 'q.embedding')} AS score
+  FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id % 10 <> 7),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM m)"""
+
+
+def new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def index_search(spark, sf_dir):
+    """All vectors in a stored index, searched in as many cells as the build's own measure asks for."""
+    path = new_folder(spark, "vector-index")
+    vector_index.build(chunk_vectors(spark, sf_dir), path)
+    return vector_index.search(spark, path, asked(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS recall_reached, (SELECT count(*) FROM embeddings) AS vectors, true AS each_in_one_cell FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall(spark, sf_dir):
+    """The share of the exact neighbours that the stored index finds, and that it holds every vector once."""
+    path = new_folder(spark, "vector-index")
+    rows, asking = chunk_vectors(spark, sf_dir).withColumn("repository_id", F.lit("all")), asked(spark, sf_dir).withColumn("repository_id", F.lit("all"))
+    vector_index.build(rows, path)
+    near = vector_index.search(spark, path, asking).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    met = search.search_blocks(rows, asking).select("query_id", "chunk_id").join(near, ["query_id", "chunk_id"], "left")
+    out = met.agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("chunk_id")).alias("recall_reached"))
+    held = vector_index.stored(spark, path).agg(F.count(F.lit(1)), F.countDistinct("chunk_id")).first()
+    return out.withColumns({"vectors": F.lit(held[0]).cast("long"), "each_in_one_cell": F.lit(held[0] == held[1])})
+
+
+@query(f"WITH {ALL_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM t WHERE rank <= 10")
+def index_growth(spark, sf_dir):
+    """An index of two thirds of the vectors, to which the others are appended, twice, and from which some are taken:
+    with all cells probed it is the exact search."""
+    path, rows = new_folder(spark, "vector-index"), chunk_vectors(spark, sf_dir)
+    vector_index.build(rows.filter("chunk_id % 3 != 1"), path)
+    for _ in range(2):
+        vector_index.append(rows.filter("chunk_id % 3 = 1"), path, "second")
+    vector_index.remove(spark, path, rows.filter("chunk_id % 10 = 7"))
+    return vector_index.search(spark, path, asked(spark, sf_dir), probes=1 << 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(SQL["topk_many"])
+def topk_query_blocks(spark, sf_dir):
+    """More queries than one task may hold: blocks of queries meet blocks of vectors."""
+    out = search.search_blocks(chunk_vectors(spark, sf_dir), asked(spark, sf_dir), max_query_bytes=4096, block_rows=1000)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def requests(spark, sf_dir):
     q = asked(spark, sf_dir)
     n = F.col("query_id") / 50
