@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from quarry import schemas as S
 from quarry.operators import chunk, discover, embed, tables
 from quarry.sources.shared import cut
+from quarry.sources.store import Store
+
+#: Tables of a stored index; chunks and vectors share their file's bucket, contents have one of their own.
+STORED = {
+    "files": "id string, repository_id string, path string, language string, size_bytes long, checksum_sha256 string",
+    "chunks": "id string, repository_id string, file_id string, chunk_index int, start_line int, end_line int, content string, content_sha256 string",
+    "embeddings": "chunk_id string, repository_id string, model string, dim int, embedding array<float>, file_id string",
+    "contents": embed.CONTENTS,
+}
 
 
 @dataclass
@@ -53,3 +62,48 @@ def update(old: Index, corpus: DataFrame, scanned: DataFrame, provider: embed.Pr
     vectors = embed.embed(chunks, provider)
     alive = old.embeddings.join(all_chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     return Index(files, all_chunks, tables.put_vectors(alive.select(*vectors.columns), vectors))
+
+
+def update_store(store: Store, corpus: DataFrame, scanned: DataFrame, provider: embed.Provider, *, complete: DataFrame | None = None, stream: str | None = None, epoch: int = 0, **options) -> dict[str, list[int]]:
+    """``update`` on stored tables, of which only the buckets of files that are new, changed or gone are read and written
+    anew; files, chunks and vectors change in one step. Texts whose vector is stored already are not embedded again. An
+    epoch that has been committed before changes nothing. Returns the buckets written, by table."""
+    if stream and store.done(stream, epoch):
+        return {}
+    windows = {k: v for k, v in options.items() if k in ("window", "overlap")}
+    limits = {k: v for k, v in options.items() if k in ("max_files", "max_bytes")}
+    sized = discover.sized(discover.classified(corpus), options.get("max_file_bytes", S.MAX_FILE_BYTES))
+    over = discover.repository_limits(sized.select("repository_id", "path", "size_bytes", "keep"), **limits).filter("NOT within")
+    within = cut(scanned.select("repository_id").distinct().join(over.select("repository_id"), "repository_id", "left_anti"), "scanned")
+    kept = discover.sniffed(sized.filter("keep").join(within, "repository_id", "left_semi")).filter("keep")
+    new = cut(discover.inventory(kept).withColumn("bucket", store.bucket("id")), "scanned-files")
+    mine = store.read("files").join(within, "repository_id", "left_semi")  # narrow rows
+    changes = tables.file_changes(mine, new)
+    if complete is not None:
+        whole = complete.select("repository_id").distinct().withColumn("whole", F.lit(True))
+        changes = changes.join(whole, "repository_id", "left").filter("whole OR change != 'removed'")
+    file_id = discover.file_id(F.col("repository_id"), F.col("path"))
+    changes = cut(changes.filter("change != 'unchanged'").select("repository_id", "path", "change", file_id.alias("file_id")).withColumn("bucket", store.bucket("file_id")), "file-changes")
+    touched = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())
+    if not touched:
+        if stream:
+            store.commit({}, stream=stream, epoch=epoch)
+        return {}
+    fresh = new.join(changes.filter("change != 'removed'").select("repository_id", "path"), ["repository_id", "path"], "left_semi")
+    gone = changes.select("file_id")
+
+    def merged(name: str, key: str, rows: DataFrame) -> tuple[DataFrame, list[int]]:
+        old = store.read(name, touched)
+        left = old.join(gone.withColumnRenamed("file_id", key), key, "left_anti")
+        return left.select(*old.columns).unionByName(rows.select(*old.columns)), touched
+
+    chunks = chunk.file_chunks(fresh, kept, **windows).withColumn("bucket", store.bucket("file_id"))
+    chunks = cut(chunks, "new-chunks")
+    vectors, contents = embed.embed_new(chunks, provider, store.read("contents"))
+    replaced = {"files": merged("files", "id", fresh), "chunks": merged("chunks", "file_id", chunks), "embeddings": merged("embeddings", "file_id", vectors)}
+    store.commit(replaced, {"contents": contents.withColumn("bucket", store.bucket("key"))}, stream=stream, epoch=epoch)
+    return {name: touched for name in replaced}
+
+
+def stored_index(store: Store) -> Index:
+    return Index(*[store.read(name).select(*[f.name for f in S.struct(ddl).fields]) for name, ddl in STORED.items() if name != "contents"])
