@@ -17,7 +17,9 @@ from quarry.operators import chunk, discover, embed, evaluate, jobs, registry, s
 from quarry.plans import index
 from quarry.sources import corpus as sources
 from quarry.sources.shared import cut, shared_folder
+from quarry.sources.store import Store
 from quarry.streaming import jobs as streams
+from quarry.streaming import scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -689,6 +691,34 @@ def incremental_index(spark, sf_dir):
     return digested(index.update(first, second, rows.select("repository_id").distinct(), embed.HashProvider(16), **ANY_REPOSITORY))
 
 
+@query(SQL["index_corpus"])
+def stream_scans(spark, sf_dir):
+    """The corpus as one scan that arrives in three batches, its end mark in the last, merged into bucketed tables."""
+    folder = new_folder(spark, "scans")
+    store = Store(spark, f"{folder}/tables", index.STORED)
+    rows = corpus(spark, sf_dir).withColumns({"scan": F.lit("first"), "files": F.lit(None).cast("long")})
+    names = ["repository_id", "scan", "path", "size_bytes", "content", "files"]
+    marks = rows.groupBy("repository_id", "scan").agg(F.count(F.lit(1)).alias("files"))
+    for part in range(3):
+        arriving = rows.filter(F.col("doc_id") % 3 == part).select(*names)
+        arriving = arriving.unionByName(marks, allowMissingColumns=True) if part == 2 else arriving
+        arriving.write.mode("append").parquet(f"{folder}/source")
+        scans.scan_stream(spark, f"{folder}/source", f"{folder}/check", store, embed.HashProvider(16), **ANY_REPOSITORY).awaitTermination()
+    return digested(index.stored_index(store))
+
+
+@query(SQL["incremental_index"])
+def stored_update(spark, sf_dir):
+    """Two scans merged into bucketed tables; the second reads and writes the buckets of changed files only, and embeds
+    only texts that no file had."""
+    store = Store(spark, f"{new_folder(spark, 'tables')}", index.STORED)
+    rows = corpus(spark, sf_dir)
+    everyone = rows.select("repository_id").distinct()
+    for scan in (rows.filter("doc_id % 5 != 0"), rows.filter("doc_id % 7 != 0")):
+        index.update_store(store, scan.drop("doc_id"), everyone, embed.HashProvider(16), **ANY_REPOSITORY)
+    return digested(index.stored_index(store))
+
+
 def search_a_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk and embed the documents and search for the text of one chunk: that chunk comes first, with score 1."""
     d = table(spark, sf_dir, "documents").select(F.lit("docs").alias("repository_id"), F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").cast("binary").alias("content"))
@@ -758,3 +788,15 @@ def model_embed(spark, sf_dir):
     made = embed.embed(d, embed.provider("model", 8, model_name="lengths", load=length_model))
     top = F.array_max("embedding")
     return made.select("chunk_id", "repository_id", "model", "dim", F.array_position("embedding", top).alias("place"), F.round(top.cast("double"), 3).alias("largest"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, length(text) % 8 + 1 AS place, doc_id % 3 <> 0 AS new FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS chunk_id, 'lengths' AS model, place, (SELECT count(DISTINCT text) FROM c WHERE text NOT IN (SELECT text FROM c WHERE NOT new)) AS embedded FROM c WHERE new""")
+def embed_contents(spark, sf_dir):
+    """The texts of some documents embedded; of the others only those that no earlier document has, each once."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("repository_id"), F.col("text").alias("content"))
+    using = embed.provider("model", 8, model_name="lengths", load=length_model)
+    none = spark.createDataFrame([], embed.CONTENTS)
+    _, known = embed.embed_new(d.filter("id % 3 = 0"), using, none)
+    made, new = embed.embed_new(d.filter("id % 3 != 0"), using, cut(known, "contents"))
+    return made.select("chunk_id", "model", F.array_position("embedding", F.array_max("embedding")).alias("place"), F.lit(new.count()).cast("long").alias("embedded"))
