@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import lines, links, paths, vectors
+from quarry.functions import lines, links, vectors
 from quarry.operators import chunk, discover, embed, evaluate, jobs, registry, search, tables, vector_index
 from quarry.plans import index
 from quarry.sources import corpus as sources
@@ -47,10 +47,6 @@ def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def sql_in(values) -> str:
-    return "(" + sql_list(values)[1:-1] + ")"
-
-
 DIRS = ["src", "src/vendor", "node_modules/dep", "docs", "a", "a-b", "target/debug", "lib/build"]
 NAMES = [
     "solver.jl", "panel.vue", "kernel.c", "grid.hpp", "Ledger.SCALA", "notes.rst", "schema.proto", "deploy.tf", "query.sql", "Gemfile", "CMakeLists.txt", ".editorconfig", ".npmrc", "store.p12",
@@ -80,22 +76,17 @@ CORPUS_SQL = f"""c AS (
   SELECT doc_id, source AS repository_id, {sql_list(DIRS)}[doc_id % {len(DIRS)} + 1] || '/' || doc_id || '/' || {sql_list(NAMES)}[doc_id % {len(NAMES)} + 1] AS path,
          {sql_list(NAMES)}[doc_id % {len(NAMES)} + 1] AS name, strlen(text) + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS size_bytes, text
   FROM documents)"""
-_LANGUAGE = (
-    "CASE " + " ".join(f"WHEN name = '{n}' THEN '{v}'" for n, v in paths.NAMES.items()) + " "
-    + " ".join(f"WHEN lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) = '{e}' THEN '{v}'" for e, v in paths.EXTENSIONS.items()) + " END"
-)
-_ends = lambda c, xs: "(" + " OR ".join(f"ends_with({c}, '{x}')" for x in xs) + ")"
-_starts = lambda c, xs: "(" + " OR ".join(f"starts_with({c}, '{x}')" for x in xs) + ")"
+#: What each of the file names is, written down by hand: its reason to be skipped, its language.
 CLASS_SQL = f"""WITH {CORPUS_SQL},
-known AS (SELECT *, {_LANGUAGE} AS lang FROM c),
+known(name, why_not, lang) AS (VALUES
+  ('solver.jl', NULL, 'julia'), ('panel.vue', NULL, 'vue'), ('kernel.c', NULL, 'c'), ('grid.hpp', NULL, 'cpp'), ('Ledger.SCALA', NULL, 'scala'), ('notes.rst', NULL, 'restructuredtext'),
+  ('schema.proto', NULL, 'protobuf'), ('deploy.tf', NULL, 'terraform'), ('query.sql', NULL, 'sql'), ('Gemfile', NULL, 'ruby'), ('CMakeLists.txt', NULL, 'cmake'), ('.editorconfig', NULL, 'editorconfig'),
+  ('.npmrc', 'secret', NULL), ('store.p12', 'secret', NULL), ('CERT.DER', 'secret', NULL), ('id_dsa.bak', 'secret', NULL), ('npm-shrinkwrap.json', 'lockfile', NULL), ('uv.lock', 'unsupported_type', NULL),
+  ('theme.min.css', 'generated', NULL), ('vendor.js.map', 'generated', NULL), ('COPYING.txt', NULL, NULL), ('Dockerfile.build', NULL, NULL), ('picture.webp', 'unsupported_type', NULL),
+  ('plainname', 'unsupported_type', NULL), ('credentials', 'secret', NULL), ('obj', 'unsupported_type', NULL), ('.gitignore', NULL, 'gitignore'), ('x.lock.hcl', 'generated', NULL)),
 r AS (
-  SELECT *, CASE
-    WHEN list_has_any(string_split(path, '/')[:-2], {sql_list(paths.EXCLUDED_DIRS)}) THEN 'excluded_dir'
-    WHEN name IN {sql_in(paths.SECRET_NAMES)} OR {_ends('lower(name)', paths.SECRET_SUFFIXES)} OR {_starts('name', paths.SECRET_PREFIXES)} THEN 'secret'
-    WHEN name IN {sql_in(paths.LOCKFILES)} THEN 'lockfile'
-    WHEN {_ends('name', paths.GENERATED_SUFFIXES)} THEN 'generated'
-    WHEN lang IS NULL AND NOT (name IN {sql_in(paths.ALLOWED_NAMES)} OR {_starts('name', paths.ALLOWED_PREFIXES)}) THEN 'unsupported_type' END AS reason
-  FROM known)"""
+  SELECT c.*, lang, CASE WHEN regexp_matches(path, '(^|/)(vendor|node_modules|target|build)/') THEN 'excluded_dir' ELSE why_not END AS reason
+  FROM c JOIN known USING (name))"""
 SIZED_SQL = CLASS_SQL + ", s AS (SELECT *, coalesce(reason, CASE WHEN size_bytes > 1048576 THEN 'too_large' END) AS why FROM r)"
 #: Where the limit is the feature, it is one that the tables meet.
 SMALL_SQL = SIZED_SQL.replace("1048576", "4000")
@@ -497,7 +488,12 @@ def file_lookup(spark, sf_dir):
 
 # ---- registry: pages' hosts and places rewritten to repository URLs, customers as users
 
-_FORMS = ["https://github.com/{}/r{}", "https://github.com/{}/r{}.git", "  HTTPS://GitHub.com/{}/r{}/ ", "http://github.com/{}/r{}", "https://github.com/{}", "https://user:pw@github.com/{}/r{}", "https://github.com:22/{}/r{}", "https://evil.com/{}/r{}", "https://github.com//{}/r{}?q=[1]#x", "https://github.com/-{}/r{}", "https://github.com:/{}/r{}", "https://github.com/{}/r{}/tree"]
+#: Owner and number go where the braces are: four that may be registered, then one for each way not to be.
+_FORMS = [
+    "https://github.com/{}/tool-{}", " \thttps://GITHUB.COM/{}/tool-{}.git/\n", "https://github.com///{}//tool.{}/?tab=readme", "https://github.com/{}/tool_{}#install",
+    "ssh://github.com/{}/tool-{}", "https://gist.github.com/{}/tool-{}", "https://github.com/{}/tool-{}/issues/4", "https://github.com/?owner={}&n={}", "https://me@github.com/{}/tool-{}",
+    "https://github.com:8443/{}/tool-{}", "https://github.com/{}/.tool{}", "https://github.com/{}/to ol{}", "https://github.com/{}/to\aol{}", " \n ",
+]
 
 
 def urls(spark, sf_dir):
@@ -510,10 +506,10 @@ def urls(spark, sf_dir):
 _URL_FORMS = "[" + ", ".join(" || ".join(x for i, part in enumerate(f.split("{}")) for x in ([f"'{part}'"] if i == 0 else ["host" if i == 1 else "(page_id % 40)", f"'{part}'"])) for f in _FORMS) + "]"
 URL_SQL = f"""WITH h AS (SELECT page_id, 'o' || (page_id % 5) AS owner_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages),
 u AS (SELECT page_id, owner_id, {_URL_FORMS}[page_id % {len(_FORMS)} + 1] AS url FROM h),
-p AS (SELECT *, trim(url) AS t FROM u),
+p AS (SELECT *, trim(url, ' ' || chr(9) || chr(10)) AS t FROM u),
 q AS (SELECT *, regexp_matches(t, '^(?i:https://@?github\\.com)(:0*)?(/[^?#]*)?([?#].*)?$') AS ok, list_filter(string_split(regexp_extract(t, '^(?i:https://@?github\\.com)(:0*)?(/[^?#]*)?([?#].*)?$', 2), '/'), lambda x: x <> '') AS s FROM p),
 g AS (SELECT *, s[1] AS o, regexp_replace(s[2], '\\.git$', '') AS r FROM q),
-v AS (SELECT *, CASE WHEN NOT ok THEN 'not_github_https' WHEN len(s) <> 2 THEN 'not_owner_and_repository' WHEN NOT regexp_matches(o, '^[A-Za-z0-9][A-Za-z0-9._-]{{0,99}}$') OR NOT regexp_matches(r, '^[A-Za-z0-9][A-Za-z0-9._-]{{0,99}}$') THEN 'invalid_name' END AS reason FROM g)"""
+v AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN contains(t, chr(7)) THEN 'control_character' WHEN NOT ok THEN 'not_github_https' WHEN len(s) <> 2 THEN 'not_owner_and_repository' WHEN NOT regexp_matches(o, '^[A-Za-z0-9][A-Za-z0-9._-]{{0,99}}$') OR NOT regexp_matches(r, '^[A-Za-z0-9][A-Za-z0-9._-]{{0,99}}$') THEN 'invalid_name' END AS reason FROM g)"""
 
 
 @query(URL_SQL + " SELECT page_id, CASE WHEN reason IS NULL THEN o END AS owner_name, CASE WHEN reason IS NULL THEN r END AS repo_name, CASE WHEN reason IS NULL THEN 'https://github.com/' || o || '/' || r || '.git' END AS clone_url, reason FROM v")
@@ -582,9 +578,9 @@ def expire_leases(spark, sf_dir):
     return shown(jobs.expire(job_rows(spark, sf_dir), now()), "expired")
 
 
-@query(f"WITH {JOB_SQL}, x AS (SELECT *, id % 6 = 2 AS hit FROM j) SELECT coalesce(length(CASE WHEN hit THEN repeat('boom', 600)[:2000] ELSE error END), -1)::INT AS n, " + _SHOWN.format(status=_SPENT, error="repeat('boom', 600)[:2000]", ends="attempts >= max_attempts") + " FROM x")
+@query(f"WITH {JOB_SQL}, x AS (SELECT *, id % 6 = 2 AS hit FROM j) SELECT coalesce(length(CASE WHEN hit THEN repeat('no space left; ', 200)[:2000] ELSE error END), -1)::INT AS n, " + _SHOWN.format(status=_SPENT, error="repeat('no space left; ', 200)[:2000]", ends="attempts >= max_attempts") + " FROM x")
 def fail_or_requeue(spark, sf_dir):
-    failures = job_rows(spark, sf_dir).filter("id % 6 = 2").select("id", F.repeat(F.lit("boom"), 600).alias("error"))
+    failures = job_rows(spark, sf_dir).filter("id % 6 = 2").select("id", F.repeat(F.lit("no space left; "), 200).alias("error"))
     return shown(jobs.fail_or_requeue(job_rows(spark, sf_dir), failures, now()).withColumn("n", F.coalesce(F.length("error"), F.lit(-1))), "n")
 
 

@@ -143,8 +143,8 @@ def test_registration(spark):
     asked = spark.createDataFrame([(1, "me", "https://github.com/o/r"), (2, "me", "https://github.com/o/r.git"), (3, "you", "https://github.com/o/r"), (4, "me", "nope"), (5, "me", "https://github.com/o/old"), (6, "me", None)], "request_id int, owner_id string, url string")
     there = spark.createDataFrame([("me", "github", "o", "old")], "owner_id string, provider string, owner_name string, repo_name string")
     assert rows(registry.registered(asked, there), "request_id", "result") == [(1, "created"), (2, "conflict"), (3, "created"), (4, "invalid"), (5, "conflict"), (6, "invalid")]
-    users = spark.createDataFrame([("1", "mixed@example.com"), ("2", "x@y.z")], "id string, email string")
-    assert rows(registry.same_email(users, spark.createDataFrame([(" MIXED@EXAMPLE.COM\n",)], "email string")), "id") == [("1",)]
+    users = spark.createDataFrame([("1", "ada.lind@uni.example"), ("2", "per@sea.example")], "id string, email string")
+    assert rows(registry.same_email(users, spark.createDataFrame([(" Ada.LIND@Uni.Example\n",)], "email string")), "id") == [("1",)]
 
 
 def test_jobs(spark):
@@ -154,7 +154,7 @@ def test_jobs(spark):
     now = F.lit("2024-01-01 00:05:00").cast("timestamp")
     out = {r["id"]: r for r in jobs.expire(j, now).collect()}
     assert [(out[i]["status"], out[i]["expired"], out[i]["error"], out[i]["locked_by"], out[i]["finished_at"] is not None) for i in "1234"] == [("queued", True, None, None, False), ("failed", True, "worker lease expired", None, True), ("running", False, None, "w", False), ("queued", False, None, "w", False)]
-    failed = {r["id"]: r for r in jobs.fail_or_requeue(j, spark.createDataFrame([("2", "boom" * 1000)], "id string, error string"), now).collect()}
+    failed = {r["id"]: r for r in jobs.fail_or_requeue(j, spark.createDataFrame([("2", "quota exceeded; " * 300)], "id string, error string"), now).collect()}
     assert failed["2"]["status"] == "failed" and len(failed["2"]["error"]) == 2000 and failed["1"]["status"] == "running"
     done = {r["id"]: r for r in jobs.mark_succeeded(j, spark.createDataFrame([("1", "sha")], "id string, commit_sha string"), now).collect()}
     assert (done["1"]["status"], done["1"]["commit_sha"], done["1"]["current_file"]) == ("succeeded", "sha", None)
