@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry import schemas as S
 from quarry.functions import vectors
+from quarry.sources.shared import cut
 
 
 def top_k(requested: Column) -> Column:
@@ -168,11 +169,21 @@ def search_cells(embeddings: DataFrame, queries: DataFrame, centres: list[list[f
     return best(scored, k)
 
 
-def hits(ranked: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Ranked rows with path, language, lines and content: text is joined to the few hits only."""
+def _chunks_of(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     c = chunks.select(F.col("id").alias("chunk_id"), "file_id", "start_line", "end_line", "content")
+    return c.join(ranked, "chunk_id").select(*ranked.columns, "file_id", "start_line", "end_line", "content")
+
+
+def hits(ranked: DataFrame, chunks: DataFrame, files: DataFrame, *, max_rows: int = 1 << 20) -> DataFrame:
+    """Ranked rows with path, language, lines and content. Up to ``max_rows`` of them are sent to the tasks that read
+    chunks and files, so that texts stay where they are but for the hits' own; more of them are joined by exchange."""
+    ranked = cut(ranked, "ranked")
     f = files.select(F.col("id").alias("file_id"), "path", "language")
-    return ranked.join(c, "chunk_id").join(f, "file_id").drop("file_id")
+    if ranked.limit(max_rows + 1).count() > max_rows:
+        return _chunks_of(ranked, chunks).join(f, "file_id").drop("file_id")
+    found = cut(_chunks_of(F.broadcast(ranked), chunks), "hits")
+    own = f.join(F.broadcast(found.select("file_id").distinct()), "file_id", "left_semi")
+    return found.join(F.broadcast(own), "file_id").drop("file_id")
 
 
 def statuses(requests: DataFrame, repositories: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -192,5 +203,5 @@ def scoped_search(requests: DataFrame, repositories: DataFrame, embeddings: Data
     status is not ok."""
     judged = statuses(requests, repositories, embeddings)
     asked = judged.filter("status = 'ok'").select("query_id", "repository_id", "vector", "k")
-    found = search_many(embeddings, asked, S.TOP_K_CAP).join(asked.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k"))
+    found = search_blocks(embeddings, asked, S.TOP_K_CAP).join(asked.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k"))
     return judged.select("query_id", "status").join(found.select("query_id", "chunk_id", "score", "rank"), "query_id", "left")

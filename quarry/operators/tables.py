@@ -14,11 +14,21 @@ def unique_or_fail(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def one_each(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The keys and a struct ``name`` of the other columns. A key that comes twice stops the job that runs the plan; the
+    count is combined before the exchange that a join on the keys needs anyway."""
+    others = F.struct(*[c for c in df.columns if c not in keys])
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(others).alias(name))
+    twice = F.raise_error(F.concat(F.lit(f"rows are not unique on {', '.join(keys)}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    return rows.select(*keys, F.when(F.col("_n") == 1, F.col(name)).otherwise(twice).alias(name))
+
+
 def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert new (repository_id, path) rows; on a match take language, size and checksum, and keep id and created_at."""
+    """Insert new (repository_id, path) rows; on a match take language, size and checksum, and keep id and created_at.
+    The new rows must be unique on the key, or the job stops."""
     keys, fresh = ["repository_id", "path"], ["language", "size_bytes", "checksum_sha256"]
     o = old.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("o"))
-    n = new.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("n"))
+    n = one_each(new.select(*old.columns), keys, "n")
 
     def picked(c: str):
         if c in keys:
@@ -52,8 +62,9 @@ def prune_chunks(chunks: DataFrame, scanned: DataFrame, files: DataFrame) -> Dat
 
 
 def put_vectors(embeddings: DataFrame, new: DataFrame) -> DataFrame:
-    """Vectors for the chunk ids of ``new`` replace any that are there."""
-    return embeddings.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*embeddings.columns).unionByName(new.select(*embeddings.columns))
+    """Vectors for the chunk ids of ``new`` replace any that are there; an id that comes twice in it stops the job."""
+    fresh = one_each(new.select(*embeddings.columns), ["chunk_id"], "n").select("chunk_id", "n.*")
+    return embeddings.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*embeddings.columns).unionByName(fresh.select(*embeddings.columns))
 
 
 def cascade(tables: dict[str, DataFrame], *, users: DataFrame | None = None, repositories: DataFrame | None = None, files: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import lines, links, vectors
 from quarry.operators import chunk, discover, embed, evaluate, jobs, registry, search, tables, vector_index
 from quarry.plans import index
+from quarry.sources import bucketed, lookup
 from quarry.sources import corpus as sources
 from quarry.sources.shared import cut, shared_folder
 from quarry.sources.store import Store
@@ -361,6 +362,15 @@ def upsert_files(spark, sf_dir):
     return tables.upsert_files(old_files(spark, sf_dir), tables.unique_or_fail(new_files(spark, sf_dir), ["repository_id", "path"]))
 
 
+@query(SQL["upsert_files"])
+def bucketed_upsert(spark, sf_dir):
+    """The same on a catalog table in buckets of the key: only the new rows are exchanged."""
+    name = f"files_{uuid.uuid4().hex}"
+    keys = ["repository_id", "path"]
+    bucketed.save(old_files(spark, sf_dir), name, keys, buckets=16)
+    return spark.table(bucketed.merge(spark, name, new_files(spark, sf_dir), keys, tables.upsert_files, buckets=16))
+
+
 def scanned(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("repository_id")).distinct().filter("repository_id != 'src3'")
 
@@ -411,21 +421,25 @@ def owned_tables(spark, sf_dir):
     c = small_chunks(spark, sf_dir)
     repos = table(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct().withColumn("owner_id", F.concat(F.lit("u"), F.length("id")))
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("src"), F.col("user_id") % 20).alias("repository_id"))
-    return {"users": repos.select(F.col("owner_id").alias("id")).distinct(), "repositories": repos, "repository_files": f, "chunks": c, "chunk_embeddings": c.select(F.col("id").alias("chunk_id")), "index_jobs": events, "repository_events": events}
+    return {"users": repos.select(F.col("owner_id").alias("id")).distinct(), "repositories": repos, "repository_files": f, "chunks": c, "chunk_embeddings": c.select(F.col("id").alias("chunk_id")), "index_jobs": events.filter("id % 2 = 0"), "repository_events": events.filter("id % 2 = 1")}
 
 
 @query(chunk_sql(8, 2) + """, g AS (SELECT source AS id FROM documents GROUP BY 1),
 gone AS (SELECT id FROM g WHERE length(id) = 4 OR id = 'src12'),
 fs AS (SELECT doc_id FROM documents WHERE source NOT IN (SELECT id FROM gone) AND doc_id % 7 <> 0),
-ev AS (SELECT 1 FROM events WHERE 'src' || (user_id % 20) NOT IN (SELECT id FROM gone))
-SELECT 'users' AS name, count(DISTINCT length(id)) - count(DISTINCT CASE WHEN length(id) = 4 THEN 1 END) AS n FROM g
-UNION ALL SELECT 'repositories', count(*) FROM g WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'repository_files', count(*) FROM fs
-UNION ALL SELECT 'chunks', count(*) FROM k WHERE doc_id IN (SELECT doc_id FROM fs) UNION ALL SELECT 'chunk_embeddings', count(*) FROM k WHERE doc_id IN (SELECT doc_id FROM fs)
-UNION ALL SELECT 'index_jobs', (SELECT count(*) FROM ev) UNION ALL SELECT 'repository_events', (SELECT count(*) FROM ev)""")
+ev AS (SELECT event_id AS id FROM events WHERE 'src' || (user_id % 20) NOT IN (SELECT id FROM gone)),
+ks AS (SELECT doc_id || ':' || chunk_index AS id FROM k WHERE doc_id IN (SELECT doc_id FROM fs)),
+a AS (
+  SELECT 'users' AS name, id FROM (SELECT DISTINCT 'u' || length(id) AS id FROM g) WHERE id <> 'u4'
+  UNION ALL SELECT 'repositories', id FROM g WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'repository_files', 'f' || doc_id FROM fs
+  UNION ALL SELECT 'chunks', id FROM ks UNION ALL SELECT 'chunk_embeddings', id FROM ks
+  UNION ALL SELECT 'index_jobs', id::VARCHAR FROM ev WHERE id % 2 = 0 UNION ALL SELECT 'repository_events', id::VARCHAR FROM ev WHERE id % 2 = 1)
+SELECT name, count(*) AS n, sum(('0x' || substr(md5(id), 1, 8))::BIGINT)::BIGINT AS keys FROM a GROUP BY name""")
 def cascade_delete(spark, sf_dir):
     t = owned_tables(spark, sf_dir)
     left = tables.cascade(t, users=t["users"].filter("id = 'u4'"), repositories=t["repositories"].filter("id = 'src12'"), files=files(spark, sf_dir).filter("doc_id % 7 = 0").select("id"))
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    keys = F.sum(F.conv(F.substring(F.md5(F.col("key").cast("string")), 1, 8), 16, 10).cast("long")).alias("keys")
+    parts = [df.select(F.col("chunk_id" if name == "chunk_embeddings" else "id").alias("key")).agg(F.count(F.lit(1)).alias("n"), keys).select(F.lit(name).alias("name"), "n", "keys") for name, df in left.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -486,6 +500,15 @@ def file_lookup(spark, sf_dir):
     return tables.looked_up(f, f.filter("doc_id % 10 = 0"), ["repository_id", "path"]).select("id", "repository_id", "path")
 
 
+@query(f"WITH {FILE_SQL} SELECT id, repository_id, path FROM f WHERE doc_id IN (SELECT 5 * item_id FROM benchmark)")
+def sorted_lookup(spark, sf_dir):
+    """Files looked up by ids, made from the benchmark's, in a table that is sorted by id and has Bloom filters."""
+    path = new_folder(spark, "sorted-files")
+    lookup.save(files(spark, sf_dir).select("id", "repository_id", "path"), path, "id")
+    keys = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("f"), (5 * F.col("item_id")).cast("string")).alias("id"))
+    return lookup.look_up(spark, path, keys, "id")
+
+
 # ---- registry: pages' hosts and places rewritten to repository URLs, customers as users
 
 #: Owner and number go where the braces are: four that may be registered, then one for each way not to be.
@@ -634,7 +657,7 @@ def public_jobs(spark, sf_dir):
 
 @query("""WITH h AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap, event_type FROM events),
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM h),
-g AS (SELECT user_id, session, arg_max(event_type, ts) AS last_state, max(ts) AS last_seen, count(*) AS heartbeats FROM s GROUP BY ALL)
+g AS (SELECT user_id, session, arg_max(event_type, (ts, event_type IN ('failed', 'succeeded'), event_type)) AS last_state, max(ts) AS last_seen, count(*) AS heartbeats FROM s GROUP BY ALL)
 SELECT 'r' || user_id AS job_id, last_state, epoch_us(last_seen) // 1000000 AS last_seen, epoch_us(last_seen + INTERVAL 1 HOUR) // 1000000 AS expired_at, heartbeats FROM g WHERE last_state NOT IN ('failed', 'succeeded')""")
 def stream_leases(spark, sf_dir):
     """The batch form of the stream; the tests run it as a stream as well."""

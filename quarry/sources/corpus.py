@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas as S
+from quarry.sources.shared import cut
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -19,25 +20,55 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CORPUS).parquet(path)
 
 
+def list_tree(spark: SparkSession, root: str, *, folders_per_task: int = 64, batch_rows: int = 10_000) -> DataFrame:
+    """(path, size_bytes) of the regular files below ``root``, a folder that the executors share: no links, all names, in
+    the order of the paths' segments. The folders of one depth are listed by tasks, and what they find are the folders of
+    the next; the driver only sees how many there are."""
+    base = Path(root)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int64()))], ["path", "folder", "size_bytes"])
+
+        found: list[tuple] = []
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                with os.scandir(base / folder) as entries:
+                    for e in entries:
+                        path = f"{folder}/{e.name}" if folder else e.name
+                        if e.is_dir(follow_symlinks=False):
+                            found.append((path, True, 0))
+                        elif e.is_file(follow_symlinks=False):
+                            found.append((path, False, e.stat(follow_symlinks=False).st_size))
+                        if len(found) >= batch_rows:
+                            yield batch_of(found)
+                            found = []
+        if found:
+            yield batch_of(found)
+
+    level, count = spark.createDataFrame([("",)], "path string"), 1
+    files = spark.createDataFrame([], "path string, size_bytes long")
+    while count:
+        made = cut(level.repartition(max(1, -(-count // folders_per_task))).mapInArrow(scan, "path string, folder boolean, size_bytes long"), "tree-level")
+        files = files.unionByName(made.filter("NOT folder").select("path", "size_bytes"))
+        level = made.filter("folder").select("path")
+        count = level.count()
+    return files.orderBy(F.split("path", "/"))
+
+
 def read_tree(spark: SparkSession, repository_id: str, root: str, *, files_per_task: int = 256, max_bytes: int = S.MAX_FILE_BYTES) -> DataFrame:
-    """A directory on a file system that driver and executors share: regular files, no links, all names. Only the list
-    of paths is made on the driver; tasks read the bytes, and of files over ``max_bytes`` only the size."""
+    """A directory on a file system that driver and executors share: regular files, no links, all names. Tasks list the
+    folders and read the bytes, and of files over ``max_bytes`` only the size."""
     base = Path(root)
-    found = []
-    for folder, _, names in os.walk(base, followlinks=False):
-        found += [Path(folder, n).relative_to(base).as_posix() for n in names if not Path(folder, n).is_symlink() and Path(folder, n).is_file()]
-    found.sort(key=lambda p: p.split("/"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path"):
-                file = base / path.as_py()
-                size = file.stat().st_size
-                content = file.read_bytes() if size <= max_bytes else b""
-                yield pa.RecordBatch.from_arrays([pa.array([repository_id]), pa.array([path.as_py()]), pa.array([size], pa.int64()), pa.array([content], pa.binary())], names=["repository_id", "path", "size_bytes", "content"])
-
-    paths = spark.createDataFrame([(p,) for p in found], "path string")
-    return paths.repartition(max(1, -(-len(found) // files_per_task))).mapInArrow(read, S.CORPUS)
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size_bytes").to_pylist(), strict=True):
+                content = (base / path).read_bytes() if size <= max_bytes else b""
+                yield pa.RecordBatch.from_arrays([pa.array([repository_id]), pa.array([path]), pa.array([size], pa.int64()), pa.array([content], pa.binary())], names=["repository_id", "path", "size_bytes", "content"])
+
+    listed = cut(list_tree(spark, root), "tree")
+    return listed.repartition(max(1, -(-listed.count() // files_per_task))).mapInArrow(read, S.CORPUS)
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:

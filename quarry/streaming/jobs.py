@@ -32,5 +32,6 @@ def silent_workers(heartbeats: DataFrame, *, lease_seconds: int = S.LEASE_SECOND
     closes when no heartbeat has come for the lease time; those later than the watermark are dropped."""
     rows = heartbeats.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = rows.withWatermark("ts", late) if heartbeats.isStreaming else rows
-    sessions = rows.groupBy("job_id", F.session_window("ts", f"{lease_seconds} seconds").alias("w")).agg(F.max_by("state", "ts").alias("last_state"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("heartbeats"))
+    order = F.struct("ts", F.col("state").isin(*TERMINAL).alias("ended"), "state")  # at one time a terminal state counts as the later
+    sessions = rows.groupBy("job_id", F.session_window("ts", f"{lease_seconds} seconds").alias("w")).agg(F.max_by("state", order).alias("last_state"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("heartbeats"))
     return sessions.filter(~F.col("last_state").isin(*TERMINAL)).select("job_id", "last_state", "last_seen", F.col("w.end").alias("expired_at"), "heartbeats")
