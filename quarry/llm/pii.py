@@ -52,6 +52,8 @@ FORMS = {
 #: Fixed value: the start of a matched domain that is one. It only sees the at most 253 characters of a match, as
 #: repeated groups take Java's stack.
 DOMAIN = r"^(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}"
+#: Fixed value: calling codes of one and two digits; all others have three.
+CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 KINDS = tuple(FORMS)
 PATTERN = "|".join(f"(?:{x})" for x in FORMS.values())
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -102,7 +104,7 @@ class Cipher:
 
         return F.aggregate(_rounds(self.reverse), F.struct(_int(left).alias("l"), _int(right).alias("r")), step)
 
-    def digits(self, kind: str, d: Column) -> Column:
+    def digits(self, kind: str | Column, d: Column) -> Column:
         """A permutation of digit strings of this length, from 2 to 20 digits."""
         n = F.length(d)
         half = F.floor(n / 2).cast("int")
@@ -194,13 +196,18 @@ def found(kind: str, value: Column) -> Column:
 
 
 def _email(m: Column, cipher: Cipher) -> Column:
-    """The local part is moved, with the domain as a tweak. What was matched behind the domain stays."""
+    """The local part is moved in small letters, with the domain as a tweak, and gets its capitals back, so that equal
+    addresses stay linked whatever their case. What was matched behind the domain stays."""
     local = F.substring_index(m, "@", 1)
 
+    def cased(new: Column) -> Column:
+        one = lambda i: F.when(_at(local, i).rlike("[A-Z]"), F.upper(_at(new, i))).otherwise(_at(new, i))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), one), "")
+
     def moved(rest: Column) -> Column:
         domain = F.regexp_extract(rest, DOMAIN, 0)
         kind = F.concat(F.lit("email|"), F.lower(domain))
-        return F.when(domain != "", found("email", F.concat(let(local, lambda x: let(kind, lambda k: cipher.letters(k, x))), F.lit("@"), rest)))
+        return F.when(domain != "", found("email", F.concat(let(let(F.lower(local), lambda x: let(kind, lambda k: cipher.letters(k, x))), cased), F.lit("@"), rest)))
 
     return let(F.substr(m, F.length(local) + 2, F.length(m)), moved)
 
@@ -252,14 +259,17 @@ def _ssn(m: Column, d: Column, cipher: Cipher) -> Column:
 
 
 def _phone(m: Column, d: Column, cipher: Cipher) -> Column:
-    prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)  # the country stays
+    """The country's code stays, the digits of the national number are moved: as one number, however they are grouped. A
+    number that is written without a code is one of the country with code 1, and is moved as with it."""
+    code = F.when(m.startswith("+"), F.regexp_extract(d, CALLING_CODE, 0)).otherwise("")
 
-    def moved(rest: Column) -> Column:
-        own = _digits(rest)
-        new = F.concat(prefix, refill(rest, let(own, lambda x: cipher.digits("phone", x))))
-        return F.when((F.length(d) >= 8) & (F.length(d) <= 15) & (F.length(own) >= 5), found("phone", new))
+    def moved(code: Column) -> Column:
+        own = F.substr(d, F.length(code) + 1, F.length(d))
+        kind = F.concat(F.lit("phone|"), F.when(code == "", "1").otherwise(code))
+        new = F.concat(code, let(own, lambda x: let(kind, lambda k: cipher.digits(k, x))))
+        return F.when((F.length(d) >= 8) & (F.length(d) <= 15) & (F.length(own) >= 5), found("phone", refill(m, new)))
 
-    return let(F.substr(m, F.length(prefix) + 1, F.length(m)), moved)
+    return let(code, moved)
 
 
 def _card_ends(m: Column) -> Column:

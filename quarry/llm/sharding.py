@@ -7,8 +7,10 @@ driver holds only the tree: at each level one aggregate gives each open node's r
 ``bins`` rows per node narrow down the cut. The tree becomes one column expression; rows are never moved for a split.
 
 Documents with equal texts form a group. Its metadata is that of the group (smallest source and language), and all its
-rows have one place in every dimension, so no cut parts them, unless the group has more bytes than a hundredth of the
-target and than the largest document; such a group is dealt row by row, as whole it would make shards unequal.
+rows have one place in every dimension, so no cut parts them. A group of more than a hundredth of a shard's bytes, of
+which there are at most a hundred per shard, would make a cut uneven: such groups are put into shards beforehand, the
+largest first and each into the emptiest, and the tree shares out what room is left. A group that has more bytes than a
+shard and than the largest document fits no shard and is dealt row by row.
 
 Slots count a shard's rows from 0: rows are numbered within (shard, block) and the blocks' counts are summed.
 
@@ -20,6 +22,7 @@ documents than shards leave shards empty; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -82,7 +85,9 @@ def points(df: DataFrame, shards: int, id_col: str, text_col: str, meta: tuple[s
     for i, m in enumerate(carry):
         rows, n = _ranked(rows, m, f"x{i + 1}", max_value_bytes)
         ends.append((0.0 if top[f"null{i}"] else 1.0, float(n)))
-    most = max((top["total"] or 0) / shards / 100, top["largest"] or 0)
+    target = (top["total"] or 0) / shards
+    most = max(target, top["largest"] or 0)
+    homes = _homes(rows, shards, target, most)
     mask = F.lit((1 << TIE_BITS) - 1)
     tie = F.when(F.col("group_bytes") > most, F.xxhash64("group", "id")).otherwise(F.col("group")).bitwiseAND(mask)
 
@@ -91,7 +96,20 @@ def points(df: DataFrame, shards: int, id_col: str, text_col: str, meta: tuple[s
         cell = F.floor((F.col(f"x{d}") - lo) / F.lit((hi - lo) or 1.0) * ((1 << CELL_BITS) - 1)).cast("long")
         return F.shiftleft(cell, TIE_BITS).bitwiseOR(tie)
 
-    return cut(rows.select("id", "size", "crc", *[place(d).alias(f"k{d}") for d in range(len(ends))]), "shard-points")
+    rows = rows.join(F.broadcast(homes), F.col("group") == F.col("home_group"), "left")
+    return cut(rows.select("id", "size", "crc", "home", *[place(d).alias(f"k{d}") for d in range(len(ends))]), "shard-points")
+
+
+def _homes(rows: DataFrame, shards: int, target: float, most: float) -> DataFrame:
+    """The shards of the groups that are large but fit one: home_group, home."""
+    large = rows.filter((F.col("group_bytes") > F.col("size")) & (F.col("group_bytes") > target / 100) & (F.col("group_bytes") <= most))
+    held = large.groupBy("group").agg(F.max("group_bytes").alias("bytes")).collect()  # at most 100 per shard
+    filled, placed = [(0, s) for s in range(shards)], []
+    for r in sorted(held, key=lambda r: (-r["bytes"], r["group"])):
+        size, s = heapq.heappop(filled)
+        placed.append((r["group"], s))
+        heapq.heappush(filled, (size + r["bytes"], s))
+    return rows.sparkSession.createDataFrame(placed, "home_group long, home int")
 
 
 def _walk(node: Node, leaf) -> Column:
@@ -102,7 +120,17 @@ def _walk(node: Node, leaf) -> Column:
 
 
 def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 4096, tolerance: float = 0.001) -> Node:
-    """The tree over the points ``rows``. ``tolerance``: by how much of a shard's bytes a cut may be off."""
+    """The tree over the points ``rows`` that have no home. ``tolerance``: by how much of a shard's bytes a cut may be off."""
+    placed = {r["home"]: r["w"] for r in rows.groupBy("home").agg(F.sum("size").alias("w")).collect()}
+    target = sum(placed.values()) / shards
+    room = [max(0.0, target - placed.get(i, 0)) for i in range(shards)]
+    rows = rows.filter("home IS NULL")
+
+    def share(n: Node) -> float:
+        """Of the node's bytes, those for its lower shards."""
+        half, whole = sum(room[n.shard : n.shard + n.k // 2]), sum(room[n.shard : n.shard + n.k])
+        return half / whole if whole else (n.k // 2) / n.k
+
     root = Node(shards, 0)
     open_nodes = [root] if shards > 1 else []
     while open_nodes:
@@ -114,7 +142,7 @@ def build(rows: DataFrame, shards: int, dims: int, *, bins: int = 4096, toleranc
         for s in stats:
             n = open_nodes[s["node"]]
             n.dim = max(range(dims), key=lambda d: ((s[f"hi{d}"] >> TIE_BITS) - (s[f"lo{d}"] >> TIE_BITS), -d))
-            state[s["node"]] = {"lo": s[f"lo{n.dim}"], "hi": s[f"hi{n.dim}"], "below": 0, "want": s["w"] * (n.k // 2) / n.k, "slack": s["w"] / n.k * tolerance}
+            state[s["node"]] = {"lo": s[f"lo{n.dim}"], "hi": s[f"hi{n.dim}"], "below": 0, "want": s["w"] * share(n), "slack": s["w"] / n.k * tolerance}
         for i, n in enumerate(open_nodes):  # a node without rows is cut anywhere
             if i not in state:
                 n.dim, n.cut = 0, 0
@@ -162,7 +190,7 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     rows = points(df, shards, id_col, text_col, meta)
     root = build(rows, shards, len(meta) + 1)
     blocks = max(1, -(-rows.count() // (shards * rows_per_block)))
-    dealt = rows.withColumn("shard", _walk(root, lambda n: F.lit(n.shard))).withColumn("block", F.pmod(F.xxhash64("id", "crc"), F.lit(blocks)))
+    dealt = rows.withColumn("shard", F.coalesce("home", _walk(root, lambda n: F.lit(n.shard)))).withColumn("block", F.pmod(F.xxhash64("id", "crc"), F.lit(blocks)))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(dealt.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "shard-blocks")
     own = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "crc")) - 1

@@ -721,3 +721,37 @@ def test_pseudonyms_of_values_before_numbers(spark):
         assert "1111 1111" not in r["text"] and "4111" not in r["text"][:4] and "2100 0418" not in r["text"] and "1904300234573201" not in r["text"]
     back = sorted(pii.pseudonymise(df.drop("found"), key="k", reverse=True).collect(), key=lambda r: r["doc_id"])
     assert [r["text"] for r in back] == texts
+
+
+def test_written_forms_of_a_number_stay_linked(spark):
+    """Phone numbers by their digits, mail addresses whatever their case; and back again."""
+    forms = [["+1 555 123 4567", "+15551234567", "(555) 123-4567", "555-123-4567", "555.123.4567"], ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958"], ["+358 40 123 4567", "+358401234567"]]
+    mails = ["Bob.Smith@Example.com", "bob.smith@example.com", "BOB.SMITH@EXAMPLE.COM"]
+    texts = [f"call {x} now" for group in forms for x in group] + [f"to {x}." for x in mails]
+    df = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k")
+    out = [r["text"] for r in df.orderBy("doc_id").collect()]
+    at = 0
+    for group, code in zip(forms, ("1", "44", "358"), strict=True):
+        new = out[at : at + len(group)]
+        at += len(group)
+        national = {re.sub("[^0-9]", "", x).removeprefix(code if "+" in x else "") for x in new}
+        assert len(national) == 1 and national != {re.sub("[^0-9]", "", group[-1]).removeprefix(code)}
+        assert [re.sub("[0-9]", "0", x[5:-4]) for x in new] == [re.sub("[0-9]", "0", x) for x in group]
+        assert all(x[5:].startswith(f"+{code}") for x in new if "+" in x)
+    assert len({x.lower() for x in out[at:]}) == 1 and [re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)) for x in out[at:]] == [re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)) for x in texts[at:]]
+    assert out[at] != texts[at]
+    back = pii.pseudonymise(df.drop("found"), key="k", reverse=True).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == texts
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rng = random.Random(18)
+    texts = [prose(rng, 40) for _ in range(900)] + ["a text that many have " * 3] * 250 + ["another one " * 9] * 90
+    made = [(i, t, "en", f"s{i % 7}", 0) for i, t in enumerate(texts)]
+    total, places = Counter(), defaultdict(set)
+    for r in sharding.shard(spark.createDataFrame(made, DOCS), 8).collect():
+        total[r["shard"]] += r["size"]
+        places[texts[r["id"]]].add(r["shard"])
+    mean = sum(total.values()) / 8
+    assert 0.5 * mean < 250 * (len(texts[900]) + 16) < mean and all(len(p) == 1 for p in places.values())
+    assert max(abs(v - mean) for v in total.values()) <= 0.03 * mean
