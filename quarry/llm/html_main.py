@@ -7,10 +7,12 @@ element is the article: from the root down to the child that holds nearly all of
 at an element that has its heading. All blocks of that element are the text. Scripts, styles and the like never show.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by element, role or, for
 containers only, class and id; the content nodes overrule a name or a form: an element that holds half of their text, or
-the page's article, stays. Inside an article only whole class names count, and no id.
+the page's article, stays, and so does one with a name that articles use themselves (a notice, a discussion) if its text
+is mostly content and a tenth or more of the page's. Inside an article only whole class names count, but for comments,
+sidebars, consent and sign-up, which any part of a class or id names.
 
 Defined cases: a null or empty page, and one without content, give an empty text; cut-off and badly nested markup is
-closed as browsers do in the common cases; character references are decoded; all white space, the no-break space
+closed as browsers do in the common cases, and what is not closed at the end takes the rest with it; character references are decoded; all white space, the no-break space
 included, is one space inside a block; very long pages take time in proportion to their length; repeated rows get equal
 answers; an empty table gives an empty result; other columns are ignored.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -46,21 +48,76 @@ HIDDEN_NAMES = set(
     "masthead topbar footer footers copyright comment comments commentlist respond replies disqus discussion share sharing social related recommended "
     "recommendations trending newsletter subscribe subscription signup login search skip toolbar form".split()
 )
+#: Of the names for comments, sidebars, consent and sign-up, those that count inside an article too, by any part of class or id.
+ALWAYS_NAMES = COMMENT_NAMES | set("sidebar sidebars cookie cookies consent gdpr newsletter subscribe subscription signup".split())
+#: Names that articles use for parts of their own as well.
+WEAK_NAMES = set("discussion notice notices notification widget widgets".split())
 HEADINGS = {"h1", "h2"}
 SENTENCES = set("p h1 h2 h3 h4 h5 h6 blockquote dd figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
+OPENS = re.compile(r"<(/?[a-zA-Z]|[!?/])")
+TAG = re.compile(r"[^\s/>]*")
+BETWEEN = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*([\"']?))?")
+UNQUOTED = re.compile(r"[^\s>]*")
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes")}
 
 
-class Page(HTMLParser):
+def tokens(html: str) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
+    """The page in one pass: ("text", data, []), ("start" or "empty", tag, attributes) and ("end", tag, []). What is not
+    closed before the page ends (a tag, a quoted value, a comment) takes the rest with it, so no part is read twice."""
+    at, n = 0, len(html)
+    while at < n:
+        opens = OPENS.search(html, at)
+        i = opens.start() if opens else n
+        if i > at:
+            yield "text", unescape(html[at:i]), []
+        if not opens:
+            return
+        kind = opens.group(1)
+        if kind in "!?/":  # a comment, a declaration, or an end without a name
+            comment = html.startswith("<!--", i)
+            end = html.find("-->" if comment else ">", i + (4 if comment else 2))
+            if end < 0:
+                return
+            at = end + (3 if comment else 1)
+            continue
+        name = TAG.match(html, i + 1 + len(kind))  # from the second letter on
+        tag, at, attributes = (kind[-1] + name.group()).lower(), BETWEEN.match(html, name.end()).end(), []
+        while at < n and html[at] != ">":
+            part = ATTRIBUTE.match(html, at)
+            value, at = "", part.end()
+            if part.group(2):
+                end = html.find(part.group(2), at)
+                if end < 0:
+                    return
+                value, at = html[at:end], end + 1
+            elif part.group(2) is not None:
+                value = UNQUOTED.match(html, at).group()
+                at += len(value)
+            attributes.append((part.group(1).lower(), unescape(value)))
+            at = BETWEEN.match(html, at).end()
+        if at >= n:
+            return
+        at += 1
+        ends = kind[0] == "/"
+        yield "end" if ends else "empty" if html[at - 2] == "/" else "start", tag, attributes
+        if not ends and tag in RAW:
+            closing = RAW[tag].search(html, at)
+            end = closing.start() if closing else n
+            if end > at:
+                yield "text", html[at:end], []
+            at = end
+
+
+class Page:
     """Elements as parallel lists, and text nodes as (element, block, text). Tag paths are numbers, and open elements are
     counted by tag, so that deep nesting costs no more than its elements."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.path, self.gone, self.soft = [""], [-1], [0], [False], [""]
         self.paths: dict[tuple[int, str], int] = {}
         self.open = [0]
@@ -69,7 +126,7 @@ class Page(HTMLParser):
         self.texts: list[tuple[int, int, str]] = []
 
     def _soft(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        """Why an element may be no content: "element", "name" or "comment"; empty if nothing says so."""
+        """Why an element may be no content: "element", "name", "weak" or "comment"; empty if nothing says so."""
         in_article = bool(self.count["article"] or self.count["main"])
         if tag in INLINE_HIDDEN and any(self.count[x] for x in SENTENCES):
             return ""
@@ -79,16 +136,16 @@ class Page(HTMLParser):
             return "" if in_article else "element"
         names: set[str] = set()
         for k, v in attrs:
-            v = v or ""
-            if k == "class" or (k == "id" and not in_article):
-                names.update(v.lower().split() if in_article else (x.lower() for x in NAME.findall(v)))
+            if k in ("class", "id"):
+                parts = {x.lower() for x in NAME.findall(v)}
+                names.update(parts & ALWAYS_NAMES | (set(v.lower().split()) if k == "class" else set()) if in_article else parts)
             elif (k == "role" and v.lower() in HIDDEN_ROLES) or k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none", v)):
                 return "name" if k == "role" else "element"
         if tag == "article" or tag in CONTAINERS:
             if names & COMMENT_NAMES:
                 return "comment"
             if tag != "article" and (names & HIDDEN_NAMES or ("header" in names and not in_article)):
-                return "name"
+                return "name" if names & (HIDDEN_NAMES - WEAK_NAMES) or "header" in names else "weak"
         return ""
 
     def _close(self, at: int) -> None:
@@ -96,6 +153,17 @@ class Page(HTMLParser):
             self.count[self.tag[e]] -= 1
         del self.open[at:]
 
+    def feed(self, html: str) -> None:
+        for kind, value, attributes in tokens(html):
+            if kind == "text":
+                self.handle_data(value)
+            elif kind == "end":
+                self.handle_endtag(value)
+            else:
+                self.handle_starttag(value, attributes)
+                if kind == "empty" and value in ("svg", "math", "path"):
+                    self.handle_endtag(value)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.block += 1
@@ -130,11 +198,6 @@ class Page(HTMLParser):
         self.open.append(len(self.tag) - 1)
         self.count[tag] += 1
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in ("svg", "math", "path"):
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.block += 1
@@ -153,10 +216,13 @@ class Page(HTMLParser):
 def hidden_elements(page: Page, weight: list[float], plain: list[float], holds: list[bool]) -> list[bool]:
     """Which elements are no content, with all in them. ``weight``: the content nodes' text in an element; ``plain``: all
     text in it; ``holds``: whether it holds the page's article. Where there is one, text elsewhere does not count."""
-    hidden = [False] * len(page.tag)
+    hidden, within = [False] * len(page.tag), [False] * len(page.tag)
     for e in range(1, len(page.tag)):
+        within[e] = within[page.parent[e]] or page.tag[e] in ("article", "main")
         half = weight[e] > 0 and weight[e] >= 0.5 * weight[0] and plain[e] >= 0.3 * plain[0] and holds[e] == holds[0]
-        stays = (half or holds[e]) if page.soft[e] == "name" else (half and holds[e]) if page.soft[e] == "comment" else False
+        # a weak name gives way where its text is mostly content, a good part of the page's, and in the article if there is one
+        mostly = plain[e] and weight[e] >= 0.5 * plain[e] and weight[e] >= 0.1 * weight[0] and (within[e] or not holds[0])
+        stays = {"name": half or holds[e], "weak": half or holds[e] or mostly, "comment": half and holds[e]}.get(page.soft[e], False)
         hidden[e] = hidden[page.parent[e]] or (bool(page.soft[e]) and not stays)
     return hidden
 
@@ -202,8 +268,7 @@ def content_nodes(page: Page, part: float = 0.2) -> list[bool]:
 
 def main_text(html: str) -> str:
     page = Page()
-    page.feed(CUT_TAG.sub("", html))
-    page.close()
+    page.feed(html)
     own, plain = [0.0] * len(page.tag), [0.0] * len(page.tag)
     for (e, _, text), good in zip(page.texts, content_nodes(page), strict=True):
         own[e] += len(text) * good

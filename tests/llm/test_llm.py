@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -755,3 +756,28 @@ def test_groups_that_fit_a_shard_stay_whole(spark):
     mean = sum(total.values()) / 8
     assert 0.5 * mean < 250 * (len(texts[900]) + 16) < mean and all(len(p) == 1 for p in places.values())
     assert max(abs(v - mean) for v in total.values()) <= 0.03 * mean
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b='", '<a b="x>', "<!--", "<", "</", "</p ", "<p/", "<a//", "<script>", "<![CDATA[", "<?x", "&amp", "<p a=b "])
+def test_broken_pages_are_read_once(part):
+    began = time.perf_counter()
+    html_main.main_text(part * 100_000)
+    html_main.main_text("<a" + part[-1] * 200_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_names_inside_articles():
+    story = "".join(f"<p>Sentence {i} of the story, which goes on for a while.</p>" for i in range(6))
+    kept = "\n".join(f"Sentence {i} of the story, which goes on for a while." for i in range(6))
+    said = "<p>A reader says, at some length, that it is good.</p>" * 2
+    for gone in ('<div id="comments">', '<div class="comments-area">', '<section class="post-comments">', '<div id="sidebar">', '<div id="cookie-banner">', '<div class="newsletter-signup">'):
+        for tag in ("main", "article"):
+            end = "</section>" if "section" in gone else "</div>"
+            assert html_main.main_text(f"<body><{tag}><h1>Head</h1>{story}{gone}{said}{end}</{tag}></body>") == f"Head\n{kept}"
+    own = "<h2>Points</h2><p>The results, as we read them, are clear enough.</p><p>They hold, with some care, for all cases.</p>"
+    text = "Points\nThe results, as we read them, are clear enough.\nThey hold, with some care, for all cases."
+    for stays, end in (('<div class="discussion">', "</div>"), ('<div class="notice">', "</div>"), ('<section id="discussion">', "</section>")):
+        assert html_main.main_text(f"<body><article><h1>Head</h1>{story}{stays}{own}{end}</article></body>") == f"Head\n{kept}\n{text}"
+    assert html_main.main_text(f"<body><h1>Head</h1>{story}<section id='discussion'>{own}</section></body>") == f"Head\n{kept}\n{text}"
+    small = '<div class="notice"><p>We use files, see here.</p></div>'
+    assert html_main.main_text(f"<body><article><h1>Head</h1>{story}{small}</article></body>") == f"Head\n{kept}"
