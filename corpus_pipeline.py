@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``documents``; the last returns the
 pieces of the packed sequences. ``run`` writes each stage's result as Parquet to the shared folder and reads it back.
+
+Defined cases: null and empty texts, and those under fifty words, go with the quality rules; nulls in other columns change
+nothing but that a null source is one of its own in the mix; rows with equal texts, repeated rows included, leave one, and
+one with an identifier where there is any; rows without an identifier are kept like others; very long texts are whole
+throughout and are cut into pieces at the end only; an empty table gives an empty result; further columns, whatever their
+names, are carried up to the last stage.
 """
 
 from __future__ import annotations
