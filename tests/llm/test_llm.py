@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -781,3 +782,108 @@ def test_names_inside_articles():
     assert html_main.main_text(f"<body><h1>Head</h1>{story}<section id='discussion'>{own}</section></body>") == f"Head\n{kept}\n{text}"
     small = '<div class="notice"><p>We use files, see here.</p></div>'
     assert html_main.main_text(f"<body><article><h1>Head</h1>{story}{small}</article></body>") == f"Head\n{kept}"
+
+
+# ---- a plain twin of the keyed permutations
+
+def feistel(key, kind, left, right, left_size, right_size):
+    for r in range(8):
+        other = right if r % 2 == 0 else left
+        h = int(hashlib.sha256(f"{key}|{kind}|{r}|{other}".encode()).hexdigest()[:12], 16)
+        if r % 2 == 0:
+            left = (left + h) % left_size
+        else:
+            right = (right + h) % right_size
+    return left, right
+
+
+def moved_digits(key, kind, d):
+    half = len(d) // 2
+    a, b = feistel(key, kind, int(d[:half]), int(d[half:]), 10**half, 10 ** (len(d) - half))
+    return f"{a:0{half}d}{b:0{len(d) - half}d}"
+
+
+def refilled(form, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in form)
+
+
+def luhn_digit(payload):
+    total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(payload)))
+    return str(-total % 10)
+
+
+def test_pseudonyms_equal_a_plain_feistel_network(spark):
+    import datetime
+
+    key, rng, made = "another key", random.Random(6), []
+    for _ in range(25):
+        digits = "".join(rng.choice("0123456789") for _ in range(15))
+        card = digits + luhn_digit(digits)
+        new = moved_digits(key, "card", digits)
+        form = rng.choice(["{}{}{}{}", "{} {} {} {}", "{}-{}-{}-{}"]).format(*[card[i : i + 4] for i in (0, 4, 8, 12)])
+        made.append((form, refilled(form, new + luhn_digit(new))))
+        code, own = rng.choice(["1", "44", "358"]), "".join(rng.choice("0123456789") for _ in range(10))
+        form = f"+{code} {own[:3]} {own[3:6]} {own[6:]}"
+        made.append((form, refilled(form, code + moved_digits(key, f"phone|{code}", own))))
+        area, group, serial = rng.choice([*range(1, 666), *range(667, 900)]), rng.randint(1, 99), rng.randint(1, 9999)
+        place = area - (2 if area > 666 else 1)
+        a, b = feistel(key, "ssn", place * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        area2 = a // 99 + (2 if a // 99 >= 665 else 1)
+        made.append((f"{area:03d}-{group:02d}-{serial:04d}", f"{area2:03d}-{a % 99 + 1:02d}-{b + 1:04d}"))
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73_000))
+        first, x, y = (datetime.date(1900, 1, 1), 92, 397) if day.year < 2000 else (datetime.date(2000, 1, 1), 75, 487)
+        n = (day - first).days
+        a, b = feistel(key, "date", n // y, n % y, x, y)
+        new = first + datetime.timedelta(a * y + b)
+        made += [(f"{day:%Y-%m-%d}", f"{new:%Y-%m-%d}"), (f"{day:%d.%m.%Y}", f"{new:%d.%m.%Y}")]
+    df = spark.createDataFrame([(i, f"it is {old} there") for i, (old, _) in enumerate(made)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, key=key).collect()}
+    assert [out[i] for i in range(len(made))] == [f"it is {new} there" for _, new in made]
+
+
+def test_content_nodes_equal_plain_tag_path_ratios():
+    """A twin in plain arithmetic: ratios per path, smoothed along the page, multiplied, held against the spread."""
+    rng = random.Random(13)
+    tags = ["p", "li", "td", "b", "h2", "span", "div"]
+
+    def fragment(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(tags)
+            said = " ".join(rng.choice(["word", "more,", "end.", "&amp;", "x"]) for _ in range(rng.randint(0, 14)))
+            out.append(f"<{t}>{said}{fragment(depth - 1) if depth and rng.random() < 0.6 else ''}</{t}>")
+        return "".join(out)
+
+    for _ in range(150):
+        page = html_main.Page()
+        page.feed(f"<body>{fragment(4)}</body>")
+        paths = []
+        for e, _, _ in page.texts:
+            path = []
+            while e > 0:
+                path.append(page.tag[e])
+                e = page.parent[e]
+            paths.append("/".join(reversed(path)))
+        texts = [" ".join(t.split()) for _, _, t in page.texts]
+        seen = [i for i, t in enumerate(texts) if t]
+        points = [sum(c in ".,;:!?" for c in t) for t in texts]
+        of = defaultdict(list)
+        for i in seen:
+            of[paths[i]].append(i)
+        mean = lambda xs: sum(xs) / len(xs)
+        weights = [math.exp(-k * k / 2) for k in (-2, -1, 0, 1, 2)]
+
+        def smooth(values):
+            if len(values) < 2:
+                return values
+            at = lambda i: values[min(max(i, 0), len(values) - 1)]
+            return [sum(w * at(i + k) for w, k in zip(weights, (-2, -1, 0, 1, 2))) / sum(weights) for i in range(len(values))]
+
+        long = smooth([mean([len(texts[j]) for j in of[paths[i]]]) for i in seen])
+        marks = smooth([mean([points[j] for j in of[paths[i]]]) for i in seen])
+        fused = dict(zip(seen, (a * b for a, b in zip(long, marks))))
+        limit = 0.2 * math.sqrt(mean([(x - mean(list(fused.values()))) ** 2 for x in fused.values()])) if fused else 0
+        want = [bool(t) and mean([fused[j] for j in of[paths[i]]]) >= limit and any(points[j] for j in of[paths[i]]) for i, t in enumerate(texts)]
+        near = [bool(t) and abs(mean([fused[j] for j in of[paths[i]]]) - limit) < 1e-9 for i, t in enumerate(texts)]
+        assert [w for w, n in zip(want, near) if not n] == [c for c, n in zip(html_main.content_nodes(page), near) if not n]
