@@ -887,3 +887,42 @@ def test_content_nodes_equal_plain_tag_path_ratios():
         want = [bool(t) and mean([fused[j] for j in of[paths[i]]]) >= limit and any(points[j] for j in of[paths[i]]) for i, t in enumerate(texts)]
         near = [bool(t) and abs(mean([fused[j] for j in of[paths[i]]]) - limit) < 1e-9 for i, t in enumerate(texts)]
         assert [w for w, n in zip(want, near) if not n] == [c for c, n in zip(html_main.content_nodes(page), near) if not n]
+
+
+def test_shards_equal_a_plain_walk_of_weighted_cuts(spark):
+    """Every cut of the tree is along its node's widest dimension and as near to the wanted weight as one value allows,
+    and the rows fall where a plain walk says."""
+    rng = random.Random(23)
+    made = [(i, prose(rng, max(1, int(rng.paretovariate(1.1) * 8) % 400)), rng.choice(["en", "fr", None]), f"s{int(rng.paretovariate(1)) % 9}", 0) for i in range(700)]
+    made += [(700 + i, "a text that a good part of a shard holds", "en", "s1", 0) for i in range(40)]
+    df = spark.createDataFrame(made, DOCS)
+    points = sharding.points(df, 9, "doc_id", "text", ("source", "lang"))
+    root = sharding.build(points, 9, 3)
+    rows = [r.asDict() for r in points.collect()]
+    target = sum(r["size"] for r in rows) / 9
+    room = [target - sum(r["size"] for r in rows if r["home"] == s) for s in range(9)]
+    place = {r["id"]: r["home"] for r in rows if r["home"] is not None}
+    assert 0 < len(place) and len(set(place.values())) == 1
+
+    def walk(node, own):
+        if node.left is None:
+            place.update({r["id"]: node.shard for r in own})
+            return
+        widths = [max(r[f"k{d}"] for r in own) // 2**32 - min(r[f"k{d}"] for r in own) // 2**32 for d in range(3)]
+        assert node.dim == widths.index(max(widths))
+        half = node.k // 2
+        want = sum(r["size"] for r in own) * sum(room[node.shard : node.shard + half]) / sum(room[node.shard : node.shard + node.k])
+        weight = Counter()
+        for r in own:
+            weight[r[f"k{node.dim}"]] += r["size"]
+        sums, total = [0], 0
+        for v in sorted(weight):
+            total += weight[v]
+            sums.append(total)
+        below = sum(w for v, w in weight.items() if v <= node.cut)
+        assert abs(below - want) <= min(abs(x - want) for x in sums) + sum(r["size"] for r in own) / node.k * 0.001
+        walk(node.left, [r for r in own if r[f"k{node.dim}"] <= node.cut])
+        walk(node.right, [r for r in own if r[f"k{node.dim}"] > node.cut])
+
+    walk(root, [r for r in rows if r["home"] is None])
+    assert {r["id"]: r["shard"] for r in sharding.shard(df, 9).collect()} == place
