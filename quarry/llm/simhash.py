@@ -16,8 +16,8 @@ are within radius // parts bits in one of ``parts`` blocks, and every pair met i
 fingerprint find candidates, whose bounds follow from the angle between shingle sets at the threshold, not from data; each
 candidate pair is then compared on the shingles' hashes. In a first round every text meets its nearest neighbours, which
 joins nearly all groups with few pairs; in a second one, texts that had more neighbours than that meet those of other
-groups, by fingerprints four times as long. A pair at the threshold is missed with a probability of about one per cent,
-and less above it. Work grows with the square of a group only where its texts are near the threshold, but below it.
+groups, in trees of their own. Their pairs are compared by fingerprints four times as long, which move only to those
+pairs. A pair at the threshold is missed with a probability of about one per cent, and less above it. Work grows with the square of a group only where its texts are near the threshold, but below it.
 
 A leaf with more points than ``8 * leaf_rows`` is dealt in slices, of points and of queries: every pair of slices is a
 task of its own. Components are found by alternating large-star and small-star steps, with lineage cut at each step. A
@@ -322,9 +322,12 @@ def keepers(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
 
 # ---- similarity of shingle sets
 
-#: Words of the fingerprints that all texts get, and of those that crowded texts get as well.
+#: Words of the fingerprints that all texts get, and of those that crowded texts in a pair get as well.
 WORDS, LONG = 8, 32
 
+#: How many pairs of a task are compared at a time: this bounds a task's memory, whatever share of them is near.
+AT_ONCE = 500_000
+
 
 @dataclass(frozen=True)
 class Bounds:
@@ -371,7 +374,7 @@ def _candidates(f: np.ndarray, own: int, cross_only: bool, bits: int, both_ways:
     """Places (a, b) of the rows of a task that differ by at most ``bits`` bits of ``f``, in parts. The first ``own`` rows
     meet all; with ``both_ways`` the others meet them as well."""
     for lo, hi, first, last in [(0, own, own if cross_only else 0, len(f)), *([(own, len(f), 0, own)] if both_ways else [])]:
-        step = max(1, 4_000_000 // max(1, last - first))
+        step = max(1, AT_ONCE // max(1, last - first))
         for at in range(lo, hi, step):
             a, b = np.nonzero(np.bitwise_count(f[at : min(at + step, hi), None] ^ f[None, first:last]) <= bits)
             a, b = a + at, b + first
@@ -397,32 +400,38 @@ def _nearest(pdf: pd.DataFrame, bits: tuple[int, int], k: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b, "d": d, "more": more})
 
 
-def _across(pdf: pd.DataFrame, bits: tuple[int, int], near: int) -> pd.DataFrame:
-    """All candidate pairs of a task whose roots differ. Columns c0: the root; c1: the longer fingerprint; c2, ...: all
-    words. A pair within ``near`` bits in some blocks surely meets in each of them, and is given by the first alone; one
-    that meets by chance only is given wherever it does."""
+def _across_in_parts(pdf: pd.DataFrame, bits: tuple[int, int], near: int) -> Iterator[pd.DataFrame]:
+    """All candidate pairs of a task whose roots differ, in parts. Columns c0: the root; the last ones: all words; between
+    them there may be a longer fingerprint c1 to compare instead. A pair within ``near`` bits in some blocks surely meets
+    in each of them, and is given by the first alone; one that meets by chance only is given wherever it does."""
     pdf = pdf.sort_values(["role", "pid"], kind="stable")
-    words = np.stack([_unsigned(pdf[f"c{2 + w}"]) for w in range(WORDS)])
+    at = 2 if f"c{1 + WORDS}" in pdf else 1
+    words = np.stack([_unsigned(pdf[f"c{at + w}"]) for w in range(WORDS)])
+    whole = words.T if at == 1 else np.frombuffer(b"".join(pdf["c1"]), "<u8").reshape(len(pdf), -1)
     part, root, pid, role = int(pdf["part"].iloc[0]), pdf["c0"].to_numpy(np.int64), pdf["pid"].to_numpy(np.int64), pdf["role"].to_numpy()
-    long = np.frombuffer(b"".join(pdf["c1"]), "<u8").reshape(len(pdf), -1)
-    found = [np.zeros((0, 2), np.int64)]
-    for a, b in _candidates(words[BLOCKS[part][0]], int(np.count_nonzero(role == 0)), bool((role == 1).any()), bits[0], False):
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-        for at in range(0, len(a), 100_000):
-            x, y = a[at : at + 100_000], b[at : at + 100_000]
-            close = np.bitwise_count(long[x] ^ long[y]).sum(axis=1, dtype=np.int64) <= bits[1]
+    own = int(np.count_nonzero(role == 0))
+    for a, b in _candidates(words[BLOCKS[part][0]], own, bool((role == 1).any()), bits[0], False):
+        wanted = (root[a] != root[b]) & ((b >= own) | (a < b))
+        a, b = a[wanted], b[wanted]
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(a), 50_000):
+            x, y = a[at : at + 50_000], b[at : at + 50_000]
+            close = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64) <= bits[1]
             x, y = x[close], y[close]
             first = np.full(len(x), part)
             for k in range(len(BLOCKS) - 1, -1, -1):
                 word, mask = BLOCKS[k]
                 differ = words[word][x] ^ words[word][y]
                 first[(np.bitwise_count(differ & np.uint64(mask)) <= near) & (np.bitwise_count(differ) <= bits[0])] = k
-            own = first == part
-            pairs = np.sort(np.stack([pid[x[own]], pid[y[own]]], axis=1), axis=1)
-            found.append(np.unique(pairs, axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            given = first == part
+            found.append(np.sort(np.stack([pid[x[given]], pid[y[given]]], axis=1), axis=1))
+        pairs = np.concatenate(found)
+        if len(pairs):
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _across(pdf: pd.DataFrame, bits: tuple[int, int], near: int) -> pd.DataFrame:
+    return pd.concat([pd.DataFrame({"a": [], "b": []}, dtype=np.int64), *_across_in_parts(pdf, bits, near)])
 
 
 def longer(prints: DataFrame) -> DataFrame:
@@ -436,6 +445,21 @@ def longer(prints: DataFrame) -> DataFrame:
     return prints.select("row", "grams").mapInArrow(run, "row long, long binary")
 
 
+def sketched(pairs: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b; written) whose longer fingerprints differ by at most ``bits`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(len(batch), -1) for c in ("la", "lb"))
+            keep = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= bits
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep))
+
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "sketch-keys")
+    made = cut(longer(restricted(prints.select("row", "grams"), wanted, "row")), "sketches")
+    left, right = (made.select(F.col("row").alias(p), F.col("long").alias(f"l{p}")).hint("merge") for p in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+
+
 def similar(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
     """Those of the ``pairs`` (a, b; written) whose shingle sets are similar enough. Only the sets of rows that are in a
     pair move."""
@@ -476,11 +500,15 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowded = cut(met.filter("more").select(F.col("a").alias("pid")).distinct(), "crowded")
     roots = components(found)
     left = restricted(points, crowded, "pid").join(roots, F.col("pid") == F.col("node"), "left").select("pid", *words, F.coalesce("root", "pid").alias("root"))
-    sketches = longer(restricted(prints.select("row", "grams"), crowded.withColumnRenamed("pid", "row"), "row"))
-    left = cut(left.join(sketches, F.col("pid") == F.col("row")).drop("row"), "crowded-points")
-    most = bound.bits(64), bound.bits(64 * LONG)
-    tasks = routed(left, forest, lambda w: ["root", "long", *words]).groupBy(*TASK)
-    rest = cut(tasks.applyInPandas(lambda pdf: _across(pdf, most, NEAR), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+    left = cut(left, "crowded-points")
+    most = bound.bits(64), bound.bits(64 * WORDS)
+    tasks = routed(left, planted(left, BLOCKS, NEAR, leaf_rows=leaf_rows, sample_rows=sample_rows), lambda w: ["root", *words]).groupBy(*TASK)
+
+    def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _across_in_parts(pd.concat(list(parts)), most, NEAR)
+
+    rest = cut(tasks.applyInPandas(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "crowded-pairs")
+    rest = cut(sketched(rest, prints, bound.bits(64 * LONG)), "other-pairs")
     edges = found.unionByName(similar(rest, prints, threshold))
     rows = prints.select("id", *words).join(points.select("pid", *words), words).select("id", "pid")
     return named(rows, points.select("pid", "first"), edges).select("id", "component")

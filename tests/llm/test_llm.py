@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, html_main, langid, line_dedup, mixing, packing, pii, quality, sharding, simhash
+from quarry.llm.common import cut
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -231,6 +233,32 @@ def test_similar_texts_match_brute_force(spark, options):
     assert simhash.drop_similar(df.limit(0)).count() == 0
 
 
+def test_near_pairs_of_a_task_take_bounded_memory():
+    """A task of near copies only: all pairs are near, and are never held at once."""
+    n = 4000
+    pdf = pd.DataFrame({"part": 0, "role": 0, "pid": np.arange(n), "c0": np.arange(n), **{f"c{1 + w}": np.zeros(n, np.int64) for w in range(simhash.WORDS)}})
+    tracemalloc.start()
+    given = sum(len(x) for x in simhash._across_in_parts(pdf, (10, 100), 1))
+    across = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    nearest = simhash._nearest(pdf[["part", "role", "pid", "c0", "c1"]].assign(c0=0), (10, 20), 2)
+    both = max(across, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert given == n * (n - 1) // 2 and len(nearest) == 2 * n
+    assert both < 100_000_000
+
+
+def test_longer_fingerprints_decide_on_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**32, 300, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 2**32, k, dtype=np.uint32)])).astype("<u4") for k in (0, 10, 30, 60, 120, 300)]
+    prints = cut(spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "row long, grams binary"), "prints")
+    pairs = cut(spark.createDataFrame([(a, b) for b in range(len(sets)) for a in range(b)], "a long, b long"), "pairs")
+    long = [simhash.majority(simhash.mixed_words(x.astype(np.uint64), simhash.LONG + 1)[1:]) for x in sets]
+    want = sorted((a, b) for b in range(len(sets)) for a in range(b) if int(np.bitwise_count(long[a] ^ long[b]).sum()) <= 359)
+    assert sorted(map(tuple, simhash.sketched(pairs, prints, 359).collect())) == want and 0 < len(want) < 15
+
+
 def test_near_copies_go(docs):
     kept = simhash.drop_near_copies(docs, radius=3)
     assert kept.columns == docs.columns and kept.filter("text = ''").count() == 0  # equal to the null text before it
