@@ -114,6 +114,14 @@ def letter_sketch(line: Column) -> Column:
     return out
 
 
+#: From this bit on a sketch has the line's length modulo 8; lines that meet differ by 4 characters at most.
+LENGTH_AT = 2 * len(COUNTED)
+
+
+def length_sketch(line: Column) -> Column:
+    return F.shiftleft((F.length(line) % 8).cast("long"), LENGTH_AT).bitwiseOR(letter_sketch(line))
+
+
 #: Characters that are counted in the lines of a pair; which ones only matters for speed.
 PAIR_COUNTED = " abcdefghijklmnopqrstuvwxyz0123456789.,;:-"
 
@@ -188,7 +196,7 @@ def signed_lines(df: DataFrame, threshold: int, min_chars: int, id_col: str, tex
         raise ValueError("min_chars must be at least 3 x (threshold + 1)")
     rows = occurrences(df, id_col, text_col).filter(F.length("line") >= min_chars)
     own, further = signatures(F.col("line"), F.length("line"), threshold, frequent_segments(rows, threshold, n, **sampling))
-    rows = rows.select("ka", own.alias("own"), further.alias("further"), letter_sketch(F.col("line")).alias("sketch"))
+    rows = rows.select("ka", own.alias("own"), further.alias("further"), length_sketch(F.col("line")).alias("sketch"))
     rows = rows.select("ka", F.concat(F.array(F.size("own").cast("long")), "own", "further").alias("sigs"), "sketch")
     return rows.groupBy("ka").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch"))  # equal lines are one
 
@@ -204,10 +212,18 @@ def probe_hashes() -> Column:
 def line_pairs(lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of ``ka`` of the signed ``lines`` that share a segment and whose sketches are as near as ``threshold``
     edits allow."""
+    return met_lines(lines, threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def met_lines(lines: DataFrame, threshold: int) -> DataFrame:
+    """Each such pair (x, y) as often as segments of x meet probes of y. Either of two lines of one length finds the other
+    if they are within ``threshold`` edits, so the greater ``ka`` alone is asked to."""
     index = lines.select(F.col("ka").alias("x"), F.col("sketch").alias("sx"), F.explode(index_hashes()).alias("sig"))
     probe = lines.select(F.col("ka").alias("y"), F.col("sketch").alias("sy"), F.explode(probe_hashes()).alias("sig"))
-    met = index.join(probe, (index["sig"] == probe["sig"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 2 * threshold))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = F.col("sx").bitwiseXOR(F.col("sy"))
+    near = F.bit_count(apart.bitwiseAND(F.lit((1 << LENGTH_AT) - 1))) <= 2 * threshold
+    other_length = F.shiftrightunsigned(apart, LENGTH_AT) != 0
+    return index.join(probe, (index["sig"] == probe["sig"]) & ((F.col("x") < F.col("y")) | (other_length & (F.col("x") != F.col("y")))) & near)
 
 
 def line_links(df: DataFrame, pairs: DataFrame, lines: DataFrame, threshold: int, id_col: str, text_col: str, *, max_rows: int = 1 << 19, pairs_per_task: int = 1000) -> DataFrame:

@@ -681,6 +681,22 @@ def test_banded_distance(spark, threshold):
     assert all(r["near"] == (edits(r["a"], r["b"], threshold) <= threshold) for r in out)
 
 
+def test_lines_of_one_length_meet_from_one_side(spark):
+    """Of near lines of one length only one finds the other; lines of other lengths are found as well."""
+    base = "the quick brown fox jumps over a lazy dog"
+    same = [base[:i] + "z" + base[i + 1 :] for i in range(0, 40, 3)]
+    docs = spark.createDataFrame(list(enumerate([*same, base + "q", base[1:]])), "doc_id long, text string")
+    signed = cut(line_dedup.signed_lines(docs, 2, 20, "doc_id", "text"), "signed")
+    met = [(r["x"], r["y"]) for r in line_dedup.met_lines(signed, 2).select("x", "y").collect()]
+    keys = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
+    mine = {keys[t] for t in same}
+    within = [p for p in met if set(p) <= mine]
+    assert {frozenset(p) for p in within} == {frozenset((a, b)) for a in mine for b in mine if a != b}
+    assert all(x < y for x, y in within)
+    links = {r["id"]: r["n_links"] for r in line_dedup.mark(docs).collect()}
+    assert links[len(same)] == len(same) + 1 and links[1] == len(same) + 1
+
+
 def test_lines_of_one_beginning_do_not_all_meet(spark):
     """6,000 lines that share their first 36 characters, with some true near copies among them."""
     rng = random.Random(77)
